@@ -1,15 +1,19 @@
 """The queries of this subpackage and the SQL of those that have one."""
 
-from . import exact_dedup, line_dedup, mixing, sharding
+from . import chat, exact_dedup, line_dedup, mixing, quality, sharding, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op8_mixing": mixing.op8_mixing,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
