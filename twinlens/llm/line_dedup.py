@@ -99,12 +99,13 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", min_chars: int = 40, min_d
     document for counting, and null ids together are one below all others.
     Columns other than text pass through.
     """
+    found = stored(_occurrences(df, id_col, min_chars), "line-occurrences")
     index = LineRuns()
-    for batch in _batches(df, id_col, n_batches):
-        index.add(_occurrences(batch, id_col, min_chars))
+    for batch in _batches(found, "id", n_batches):
+        index.add(batch)
     id_ = F.col("id")
     drops = (
-        _occurrences(df, id_col, min_chars).join(index.frequent(min_docs), "line")
+        found.join(index.frequent(min_docs), "line")
         .where(F.col("keeper").isNotNull() & (id_.isNull() | (id_ < F.col("keeper"))))
         .groupBy(id_.alias("_drop_id")).agg(F.collect_set("line").alias("_drop"))
     )
