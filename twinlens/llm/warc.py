@@ -33,8 +33,8 @@ ARC_FIELDS = {
     2: "url ip date type status checksum location offset filename length".split(),
 }
 _RECORD_SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-_PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("http", pa.binary()), ("payload", pa.binary()), ("n", pa.int64()), ("digest", pa.string()), ("file", pa.string()), ("at", pa.int64())])
-_PAGES_DDL = "page_id long, url string, date string, http binary, payload binary, n long, digest string, file string, at long"
+_PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("n", pa.int64()), ("digest", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("member", pa.binary()), ("length", pa.int64())])
+_PAGES_DDL = "page_id long, url string, date string, n long, digest string, file string, at long, member binary, length long"
 
 
 def _deflated(data: bytes) -> bytes:
@@ -43,7 +43,7 @@ def _deflated(data: bytes) -> bytes:
 
 
 def members(data: bytes):
-    """(offset, content) of each gzip member."""
+    """(start, end, content) of each gzip member."""
     view, at, step = memoryview(data), 0, 1 << 15
     while at < len(view):
         z, parts, to = zlib.decompressobj(31), [], at
@@ -53,7 +53,7 @@ def members(data: bytes):
             parts.append(z.decompress(view[to : to + step]))
             to = min(to + step, len(view))
         end = to - len(z.unused_data)
-        yield at, b"".join(parts)
+        yield at, end, b"".join(parts)
         at = end
 
 
@@ -113,10 +113,10 @@ def write_arc(pages: DataFrame, folder: str, version: int, date: str = "20200101
 
 
 def parse_arc(data: bytes):
-    """(offset, header fields, body) of an ARC file's records; the first, its
+    """(start, end, header fields, body) of an ARC file's records; the first, its
     version block, says how to read the others' header lines."""
     fields = None
-    for at, member in members(data):
+    for at, end, member in members(data):
         line, _, rest = member.partition(b"\n")
         values = line.decode("utf-8", "replace").split(" ")
         if fields is None:
@@ -130,7 +130,7 @@ def parse_arc(data: bytes):
         n = int(v["length"])
         if len(rest) < n:
             raise ValueError(f"record at {at} declares {n} bytes and has {len(rest)}")
-        yield at, v, rest[:n]
+        yield at, end, v, rest[:n]
 
 
 def _files_in(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
@@ -143,27 +143,36 @@ def _page(block: bytes) -> tuple[int | None, bytes, bytes]:
     return int(m[1]) if m else None, http + gap, payload
 
 
-def read_arc(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
-    """The records of all ARC files in a folder: page_id, url, date, http, payload
-    (null where not asked for), n (its bytes), digest, file, at."""
+def read_arc(spark: SparkSession, folder: str, members: bool = True) -> DataFrame:
+    """The records of all ARC files in a folder: page_id, url, date, n (bytes of the
+    payload), digest, file, at, member (the record as it is compressed in the
+    file, null where not asked for) and length (bytes of its body)."""
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PAGES.types)], schema=_PAGES)
 
     def read(batches):
         for b in batches:
-            for path, data in zip(*(b.column(i).to_pylist() for i in range(2))):
+            for path, data in zip(*(c.to_pylist() for c in b.columns)):
                 name, rows, size = path.rsplit("/", 1)[-1], [], 0
-                for at, v, body in parse_arc(data):
-                    page, http, html = _page(body)
-                    rows.append((page, v["url"], v["date"], http, html if payload else None, len(html), hashlib.sha256(html).hexdigest(), name, at))
-                    size += len(body)
+                for at, end, v, body in parse_arc(data):
+                    page, _, payload = _page(body)
+                    rows.append((page, v["url"], v["date"], len(payload), hashlib.sha256(payload).hexdigest(), name, at, data[at:end] if members else None, len(body)))
+                    size += end - at
                     if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PAGES.types)], schema=_PAGES)
+                        yield batch(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PAGES.types)], schema=_PAGES)
+                    yield batch(rows)
 
     return _files_in(spark, folder, ".arc.gz").mapInArrow(read, _PAGES_DDL)
 
 
+def arc_body(member: bytes, length: int) -> bytes:
+    """The body of a compressed record of read_arc()."""
+    return zlib.decompress(member, 31).partition(b"\n")[2][:length]
+
+
 def record_id(file: str, at: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(_RECORD_SPACE, f'{file}:{at}')}>"
 
@@ -183,14 +192,14 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str) -> None:
     """
     order = [F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), F.col("file").alias("f"), F.col("at").alias("a")]
     firsts = (
-        read_arc(spark, arc_folder, payload=False).where(F.col("n") >= REVISIT_BYTES)
+        read_arc(spark, arc_folder, members=False).where(F.col("n") >= REVISIT_BYTES)
         .groupBy(F.col("digest").alias("d")).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("copies"))
         .where("copies > 1").select("d", F.col("first.f").alias("first_file"), F.col("first.a").alias("first_at"))
     )
     rows = read_arc(spark, arc_folder)
     rows = rows.join(firsts, (rows["digest"] == firsts["d"]) & (rows["n"] >= REVISIT_BYTES), "left")
     again = F.col("first_file").isNotNull() & ((F.col("first_file") != F.col("file")) | (F.col("first_at") != F.col("at")))
-    rows = rows.select("url", "date", "http", F.when(~again, F.col("payload")).alias("payload"), "digest", "file", "at", F.when(again, F.col("first_file")).alias("first_file"), F.when(again, F.col("first_at")).alias("first_at"))
+    rows = rows.select("url", "date", "member", "length", "digest", "file", "at", F.when(again, F.col("first_file")).alias("first_file"), F.when(again, F.col("first_at")).alias("first_at"))
 
     def head(name: str) -> bytes:
         return _warc({"WARC-Type": "warcinfo", "WARC-Filename": name, "WARC-Record-ID": record_id(name, 0), "WARC-Date": _stamp(""), "Content-Type": "application/warc-fields"}, b"software: twinlens\r\n")
@@ -198,11 +207,12 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str) -> None:
     def write(batches):
         out, n = _File(warc_folder, "", ".warc.gz", head), 0
         for b in batches:
-            for url, date, http, payload, digest, file, at, first_file, first_at in zip(*(c.to_pylist() for c in b.columns)):
+            for url, date, member, length, digest, file, at, first_file, first_at in zip(*(c.to_pylist() for c in b.columns)):
                 v = {"WARC-Type": "response" if first_file is None else "revisit", "WARC-Target-URI": url, "WARC-Date": _stamp(date), "WARC-Record-ID": record_id(file, at), "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http; msgtype=response"}
                 if first_file is not None:
                     v |= {"WARC-Refers-To": record_id(first_file, first_at), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-                out.add(_warc(v, http + (payload or b"")))
+                body = arc_body(member, length)
+                out.add(_warc(v, body if first_file is None else _page(body)[1]))
                 n += 1
         out.close()
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
@@ -218,7 +228,7 @@ def _warc(headers: dict[str, str], block: bytes) -> bytes:
 
 def parse_warc(data: bytes):
     """(headers, block) of each record of a WARC file."""
-    for at, member in members(data):
+    for at, _, member in members(data):
         head, gap, rest = member.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
