@@ -39,8 +39,15 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]{1,4}|[^\s\p{L}\p{N}]"))
 
 
-def _fold(arrays: Column, zero: Column, step) -> Column:
-    return F.aggregate(arrays, zero, step)
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row: the optimiser would copy a
+    column's expression into every use, also into those inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def prefix_sums(rows: Column, size) -> Column:
+    """0 and the running sums of size(row), one entry more than rows."""
+    return F.aggregate(rows, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + size(x))))
 
 
 def format_conversations(turns: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS) -> DataFrame:
@@ -57,68 +64,82 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history_tokens:
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     esc_role = F.replace(escape(role), F.lit("\n"), F.lit("\\\n"))
     row = F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text"), F.concat(F.lit(START), esc_role, F.lit("\n")).alias("head"), escape(text).alias("esc"), token_count(text).cast("long").alias("tokens"))
-    conv = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("t"))
-    t = F.col("t")
-    conv = conv.withColumn("has_system", (t[0]["role"] == "system").cast("int"))
-    conv = conv.withColumn("body", F.slice("t", F.col("has_system") + 1, F.size("t")))
-    body, n = F.col("body"), F.size("body")
-    sums = _fold(body, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["tokens"])))
-    conv = conv.withColumn("p", sums).withColumn("sys_tokens", F.when(F.col("has_system") == 1, t[0]["tokens"]).otherwise(F.lit(0)))
-    p, sys_tokens = F.col("p"), F.col("sys_tokens")
-    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def tokens(a, b):  # of body turns a (included) to b
-        return F.get(p, b) - F.get(p, a)
-
-    def first_history(i):
-        """The earliest turn repeated if a window starts at turn i."""
-        back = F.sequence(F.greatest(i - history_turns, F.lit(0)), i)
-        room = F.least(F.lit(history_tokens), F.lit(budget) - sys_tokens - tokens(i, i + 1))
-        return F.coalesce(F.array_min(F.filter(back, lambda h: tokens(h, i) <= room)), i)
-
-    conv = conv.withColumn("hist", F.transform(index, first_history))
-    hist = F.col("hist")
-    greedy = _fold(
-        index,
-        F.array().cast("array<int>"),
-        lambda acc, i: F.when(
-            (F.size(acc) == 0) | (sys_tokens + tokens(F.get(hist, F.element_at(F.concat(F.array(F.lit(0)), acc), -1)), i + 1) > budget),
-            F.concat(acc, F.array(i)),
-        ).otherwise(acc),
-    )
-    # a conversation of a system turn only still has one window
-    conv = conv.withColumn("starts", greedy).withColumn("starts", F.when(F.size("starts") == 0, F.array(F.lit(0))).otherwise(F.col("starts")))
-    w = conv.select("conv_id", "t", "body", "has_system", "hist", "starts", F.posexplode("starts").alias("window", "from"))
-    first = F.col("window") == 0
-    h = F.when(first, F.col("from")).otherwise(F.get("hist", F.col("from")))
-    to = F.coalesce(F.get("starts", F.col("window") + 1), F.size("body"))
-    w = w.select(
-        "conv_id", "window",
-        F.when(first, F.lit(0)).otherwise(F.col("has_system") + F.col("from") - h).alias("n_repeated"),
-        F.concat(F.slice("t", F.lit(1), F.col("has_system")), F.slice("body", h + 1, to - h)).alias("turns"),
-    )
-    blocks = F.transform("turns", lambda x: F.concat(x["head"], x["esc"], F.lit(END + "\n")))
+    conv = turns.groupBy("conv_id").agg(F.collect_list(row).alias("t"))
+
+    def windows(t: Column) -> Column:
+        """(from, to, n_repeated, turns) of each window of sorted turns."""
+        n_system = (F.get(t, F.lit(0))["role"] == "system").cast("int")
+        body = F.slice(t, n_system + 1, F.size(t))
+        sys_tokens = F.when(n_system == 1, F.get(t, F.lit(0))["tokens"]).otherwise(F.lit(0))
+        return let(
+            F.struct(n_system.alias("n_system"), body.alias("body"), sys_tokens.alias("sys"), prefix_sums(body, lambda x: x["tokens"]).alias("p")),
+            lambda c: let(_history(c), lambda hist: let(_starts(c, hist), lambda starts: _cut(t, c, hist, starts))),
+        )
+
+    def index(c):
+        n = F.size(c["body"])
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def tokens(c, a, b):  # of body turns a (included) to b
+        return F.get(c["p"], b) - F.get(c["p"], a)
+
+    def _history(c):
+        """For each turn, the earliest turn repeated if a window starts there."""
+
+        def first(i):
+            room = F.least(F.lit(history_tokens), F.lit(budget) - c["sys"] - tokens(c, i, i + 1))
+            back = F.sequence(F.greatest(i - history_turns, F.lit(0)), i)
+            return F.coalesce(F.array_min(F.filter(back, lambda h: tokens(c, h, i) <= room)), i)
+
+        return F.transform(index(c), first)
+
+    def _starts(c, hist):
+        """Where windows start: as late as the budget allows; a conversation of a
+        system turn only has one window too."""
+
+        def step(acc, i):
+            full = c["sys"] + tokens(c, F.get(hist, F.element_at(acc, -1)), i + 1) > budget
+            return F.when(full & (F.element_at(acc, -1) < i), F.concat(acc, F.array(i))).otherwise(acc)
+
+        return F.aggregate(index(c), F.array(F.lit(0)), step)
+
+    def _cut(t, c, hist, starts):
+        def window(start, k):
+            h = F.when(k == 0, start).otherwise(F.get(hist, start))
+            to = F.coalesce(F.get(starts, k + 1), F.size(c["body"]))
+            repeated = F.when(k == 0, F.lit(0)).otherwise(c["n_system"] + start - h)
+            own = F.concat(F.slice(t, F.lit(1), c["n_system"]), F.slice(c["body"], h + 1, to - h))
+            return F.struct(k.alias("window"), repeated.alias("n_repeated"), own.alias("turns"))
+
+        return F.transform(starts, window)
+
+    w = conv.select("conv_id", F.explode(let(F.sort_array("t"), windows)).alias("w")).select("conv_id", "w.*")
     tail = len(END) + 1
-    ends = _fold(F.col("turns"), F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(x["head"]) + F.char_length(x["esc"]) + tail)))
-    spans = F.transform("turns", lambda x, i: F.struct(
-        (F.get(F.col("ends"), i) + F.char_length(x["head"])).alias("start"), F.char_length(x["esc"]).cast("long").alias("length"),
-        ((x["role"] == "assistant") & (i >= F.col("n_repeated"))).alias("target")))
-    w = w.withColumn("ends", ends).select("conv_id", "window", F.array_join(blocks, "").alias("formatted"), "n_repeated", F.filter(spans, lambda s: s["target"]).alias("spans"))
-    return w.withColumn("loss_spans", F.transform("spans", lambda s: F.struct(s["start"], s["length"]))).drop("spans")
+
+    def spans(ends):
+        found = F.transform("turns", lambda x, i: F.struct(
+            (F.get(ends, i) + F.char_length(x["head"])).alias("start"), F.char_length(x["esc"]).cast("long").alias("length"),
+            ((x["role"] == "assistant") & (i >= F.col("n_repeated"))).alias("target")))
+        return F.transform(F.filter(found, lambda s: s["target"]), lambda s: F.struct(s["start"], s["length"]))
+
+    ends = prefix_sums(F.col("turns"), lambda x: F.char_length(x["head"]) + F.char_length(x["esc"]) + tail)
+    formatted = F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["esc"], F.lit(END + "\n"))), "")
+    return w.select("conv_id", "window", formatted.alias("formatted"), "n_repeated", let(ends, spans).alias("loss_spans"))
 
 
 def read_formatted(windows: DataFrame) -> DataFrame:
     """Reads format_conversations() output back: conv_id, turns (role, text),
     loss_text and formatted_chars, one row a conversation."""
     blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda b: b != "")
-    parsed = F.transform(blocks, lambda b: F.struct(
-        unescape(F.regexp_extract(b, r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n", 1)).alias("role"),
-        unescape(F.regexp_replace(b, r"(?s)^<\|im_start\|>(?:[^\\\n]|\\.)*\n", "")).alias("text")))
+    head = r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n"
+    parsed = F.transform(F.slice(blocks, F.col("n_repeated") + 1, F.lit(1 << 30)), lambda b: F.struct(
+        unescape(F.regexp_extract(b, head, 1)).alias("role"), unescape(F.regexp_replace(b, head, "")).alias("text")))
     loss = F.transform("loss_spans", lambda s: unescape(F.substring("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    rows = windows.select("conv_id", F.struct(
-        F.col("window"), F.slice(parsed, F.col("n_repeated") + 1, F.size(parsed)).alias("turns"), F.array_join(loss, "").alias("loss"), F.char_length("formatted").cast("long").alias("chars")).alias("w"))
+    rows = windows.select("conv_id", F.struct("window", parsed.alias("turns"), F.array_join(loss, "").alias("loss"), F.char_length("formatted").cast("long").alias("chars")).alias("w"))
     g = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
-    return g.select("conv_id", F.flatten(F.transform("w", lambda x: x["turns"])).alias("turns"), F.array_join(F.transform("w", lambda x: x["loss"]), "").alias("loss_text"), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("formatted_chars"), F.size("w").alias("n_windows"))
+    return g.select("conv_id", F.explode(F.array(F.struct(  # explode: computed once
+        F.flatten(F.transform("w", lambda x: x["turns"])).alias("turns"), F.array_join(F.transform("w", lambda x: x["loss"]), "").alias("loss_text"),
+        F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("formatted_chars"), F.size("w").alias("n_windows")))).alias("r")).select("conv_id", "r.*")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
