@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that have one."""
 
-from . import chat, exact_dedup, line_dedup, mixing, quality, sharding, warc
+from . import chat, exact_dedup, jaccard, line_dedup, mixing, quality, sharding, suffix, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
@@ -8,7 +8,9 @@ QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_suffix_dedup": suffix.op7_suffix_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_warc": warc.op10_warc,
 }
 
