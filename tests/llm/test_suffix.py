@@ -34,8 +34,9 @@ def test_op7_against_brute_force(awkward, table, spark):
     assert sum(x[1] > 0 for x in want.values()) > 10
 
 
-@pytest.mark.parametrize("match,n_batches", [(12, 1), (12, 5), (40, 3)])
-def test_spans_against_brute_force(spark, match, n_batches):
+@pytest.mark.parametrize("match,n_batches,hot", [(12, 1, 9999), (12, 5, 3), (40, 3, 2), (40, 2, 9999)])
+def test_spans_against_brute_force(spark, monkeypatch, match, n_batches, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
     rng = random.Random(match + n_batches)
     passage = "".join(rng.choices("abcdefé ", k=300))
     texts = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -20,9 +21,6 @@ _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
     new temporary one where the session sets none (local runs and tests)."""
@@ -46,14 +44,13 @@ def make_dir(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, and a lost
     executor costs no recomputation of what came before."""
-    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")  # the table is whole: its shuffles are not read again
-    try:
-        df.write.parquet(path)
-    finally:
-        conf.set(_CLEANUP, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    # The table is whole, so its shuffles are not read again; Spark deletes their
+    # files once the JVM has found them unreachable.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(df: DataFrame) -> None:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import byte_chunks, mix, stored, words
+from ._common import byte_chunks, drop_stored, mix, stored, words
 from .components import connected_components
 
 #: Documents of a leaf that one block holds.
@@ -202,18 +202,22 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     points = stored(docs.mapInArrow(_points(n_words, percent), _DDL), "jaccard-points")
     same = ["n", "print_a", "print_b"]
     classes = stored(points.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("class_id"), F.first("keys").alias("keys")), "jaccard-classes")
-    members = points.select("id", *same).join(classes.select(*same, "class_id"), same, "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id"))
+    members = points.select("id", *same).join(classes.select(*same, "class_id"), same, "left")
+    members = stored(members.select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "jaccard-members")
+    drop_stored(points)
     node = classes.select(F.col("class_id").alias("id"), F.explode("keys").alias("node"))
     shared = node.groupBy("node").agg(F.min("id").alias("leaf"), F.max("id").alias("last")).where("leaf < last").select("node", "leaf")
     leaf = stored(node.join(shared, "node").select("leaf", "id").distinct(), "jaccard-leaves")
+    drop_stored(classes)
     blocks = leaf.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_blocks"))
     dealt = leaf.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     # a block meets itself where it is the only one, else each other block
     others = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     dealt = dealt.withColumn("other", F.explode(others)).select("leaf", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    wanted = leaf.select("id").distinct()
+    # these lists grow with the corpus: merge joins, at any size
+    wanted = leaf.select("id").distinct().hint("merge")
     sets = stored(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(n_words), "id long, shingles binary"), "jaccard-sets")
-    links = dealt.join(sets, "id").groupBy("leaf", "i", "j").applyInArrow(_leaf(percent), "a long, b long")
+    links = dealt.join(sets.hint("merge"), "id").groupBy("leaf", "i", "j").applyInArrow(_leaf(percent), "a long, b long")
     return members, stored(links.distinct(), "jaccard-links")
 
 

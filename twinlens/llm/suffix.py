@@ -11,7 +11,8 @@ with those of the existing levels, where every earlier document is: an entry tha
 is not the first of its run is repeated whole. First entries form a new level;
 equal-sized levels merge geometrically. At the end, owners of several different
 segments (text around a repeat differs) have their segments' strings compared one
-by one in the same way. Hot entries are collapsed inside each chunk of text before
+by one: an owner's together in one bucket, or, where an owner has more than HOT, each
+string where its hash sends it. Hot entries are collapsed inside each chunk of text before
 any shuffle, so a passage in every document sends one entry a chunk.
 """
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from ._common import _UNBASE, byte_chunks, drop_stored, mix, powers, prefix_hash, span_hash, stored
 
 MATCH, SEED = 100, 32
+#: Segments whose strings one bucket compares, and of one owner at most.
+BUCKET, HOT = 20_000, 10_000
 _ENTRY = pa.schema([("owner", pa.int64()), ("print", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
 _ENTRY_DDL = "owner long, print long, doc long, start int, n int, again boolean"
 
@@ -129,37 +132,93 @@ class SuffixFamily:
         return seen.where("again").select("doc", "start", "n")
 
     def split_owners(self) -> DataFrame:
-        """The segments (doc, start, n) of owners that have several."""
+        """The segments (owner, doc, start, n, hot) of owners that have several; hot:
+        more than HOT."""
         index = reduce(DataFrame.unionByName, self.arrays())
-        several = index.groupBy("owner").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b").select("owner")
-        return index.join(several, "owner", "left_semi").select("doc", "start", "n")
+        several = index.groupBy("owner").agg(F.min("print").alias("a"), F.max("print").alias("b"), (F.count("*") > HOT).alias("hot")).where("a <> b")
+        return index.join(several, "owner").select("owner", "doc", "start", "n", "hot")
+
+
+def _cut_out(b: pa.RecordBatch, match: int):
+    """For each chunk of texts: (documents' ids, hash prefix, bytes, list entries
+    as text row, start, strings and owner)."""
+    ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+    sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+    start, n, owner = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    for at, off, data in byte_chunks(b.column(1)):
+        part = slice(first[at], first[at + len(off) - 1])
+        row = np.repeat(np.arange(len(off) - 1), sizes[at : at + len(off) - 1])
+        if len(row):
+            yield ids[at + row], off[row] + start[part], data, start[part], n[part], owner[part]
+
+
+def _spread(n: np.ndarray):
+    """(item, 0, 1, ... n - 1 of it) for items of n strings each."""
+    item = np.repeat(np.arange(len(n)), n)
+    return item, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _windows(match: int):
-    """One row a string of the listed segments: its hash is the owner."""
+    """One row a string of the listed segments; its hash is the owner."""
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            lists = b.column(2)
-            sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
-            begin, count = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
-            first = np.concatenate(([0], np.cumsum(sizes)))
-            for at, off, data in byte_chunks(b.column(1)):
-                part = slice(first[at], first[at + len(off) - 1])
-                row = np.repeat(np.arange(len(off) - 1), sizes[at : at + len(off) - 1])
-                start, n = begin[part], count[part]
-                row, place = np.repeat(row, n), np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
-                if not len(row):
-                    continue
-                p = off[row] + place
-                h = span_hash(prefix_hash(data), p, p + match)
-                doc = ids[at + row]
+            for doc, at, data, start, n, _ in _cut_out(b, match):
+                item, k = _spread(n)
+                h = span_hash(prefix_hash(data), at[item] + k, at[item] + k + match)
+                doc, place = doc[item], start[item] + k
                 yield _rows(h, h, doc, place, np.ones(len(h)), _later([h], doc, place))
 
     return run
 
 
+_PIECE = pa.schema([("owner", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
+
+
+def _pieces(match: int):
+    """The listed segments with their bytes."""
+
+    def run(batches):
+        for b in batches:
+            for doc, at, data, start, n, owner in _cut_out(b, match):
+                item, k = _spread(n + match - 1)
+                ends = np.concatenate(([0], np.cumsum(n + match - 1))).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data[at[item] + k])])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), raw], schema=_PIECE)
+
+    return run
+
+
+def _compare(match: int):
+    """Repeated strings, as runs, among segments whose owners are all here."""
+
+    def run(t: pa.Table) -> pa.Table:
+        doc, start, n = (t[c].to_numpy().astype(np.int64) for c in ("doc", "start", "n"))
+        order = np.lexsort((start, doc))
+        doc, start, n = doc[order], start[order], n[order]
+        found = []
+        for _, off, data in [next(byte_chunks(t["bytes"].combine_chunks().take(pa.array(order)), 1 << 62))]:
+            item, k = _spread(n)
+            h = span_hash(prefix_hash(data), off[item] + k, off[item] + k + match)
+            # items are in order of place, and a stable sort keeps equal strings so
+            by = np.argsort(h, kind="stable")
+            x, s = h[by], item[by]
+            new = np.r_[True, x[1:] != x[:-1]]
+            head = s[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+            again = np.zeros(len(h), bool)
+            again[by] = (head != s) & ((doc[head] != doc[s]) | (start[head] != start[s]))
+            at = np.flatnonzero(again)
+            if len(at):
+                cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (item[at[1:]] != item[at[:-1]])])
+                i = at[cut]
+                found = [doc[item[i]], start[item[i]] + k[i], np.diff(np.r_[cut, len(at)])]
+        d, a, m = found or [np.zeros(0, np.int64)] * 3
+        return pa.table({"doc": d, "start": a.astype(np.int32), "n": m.astype(np.int32)})
+
+    return run
+
+
 def _batches(df: DataFrame, n: int) -> list[DataFrame]:
     cuts = sorted(set(df.agg(F.percentile_approx("doc", [i / n for i in range(1, n)])).first()[0] or [])) if n > 1 else []
     if not cuts:
@@ -180,11 +239,21 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     family, whole = SuffixFamily(), []
     for batch in _batches(docs, n_batches):
         whole.append(family.add(batch.mapInArrow(_entries(match), _ENTRY_DDL)))
-    unsure = family.split_owners().groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("segments"))
-    strings = docs.join(unsure, "doc").select("doc", "text", "segments").mapInArrow(_windows(match), _ENTRY_DDL)
-    scan = Window.partitionBy("owner").orderBy("doc", "start")
-    again = strings.withColumn("again", F.col("again") | (F.rank().over(scan) > 1)).where("again").select("doc", "start", "n")
-    found = reduce(DataFrame.unionByName, [*whole, again])
+    unsure = stored(family.split_owners(), "suffix-unsure")
+
+    def texts(segments: DataFrame) -> DataFrame:
+        listed = segments.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "owner")).alias("segments"))
+        return docs.join(listed.hint("merge"), "doc").select("doc", "text", "segments")
+
+    # owners' segments meet in buckets; those of hot owners string by string
+    n_buckets = max(48, -(-unsure.where("not hot").count() // BUCKET))
+    pieces = texts(unsure.where("not hot")).mapInArrow(_pieces(match), "owner long, doc long, start int, n int, bytes binary")
+    again = [pieces.groupBy(F.pmod(F.xxhash64("owner"), F.lit(n_buckets)).alias("bucket")).applyInArrow(_compare(match), "doc long, start int, n int")]
+    if not unsure.where("hot").isEmpty():
+        strings = texts(unsure.where("hot")).mapInArrow(_windows(match), _ENTRY_DDL)
+        scan = Window.partitionBy("owner").orderBy("doc", "start")
+        again.append(strings.withColumn("again", F.col("again") | (F.rank().over(scan) > 1)).where("again").select("doc", "start", "n"))
+    found = reduce(DataFrame.unionByName, [*whole, *again])
     covered = F.collect_list(F.struct(F.col("start"), (F.col("start") + F.col("n") + (match - 1)).alias("end")))
     spans = found.groupBy("doc").agg(covered.alias("covered")).mapInArrow(_union, "doc long, spans array<struct<start:int,end:int>>")
     return stored(spans, "suffix-spans").withColumnRenamed("doc", id_col)
