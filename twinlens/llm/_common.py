@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -49,7 +50,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     # The table is whole, so its shuffles are not read again; Spark deletes their
     # files once the JVM has found them unreachable.
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second finds what the first made unreachable
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(path)
 
 

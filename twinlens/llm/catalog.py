@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that have one."""
 
-from . import chat, exact_dedup, jaccard, line_dedup, mixing, quality, sharding, suffix, warc
+from . import chat, exact_dedup, jaccard, line_dedup, mixing, pieces, quality, sharding, suffix, warc
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_sharding": sharding.op2_sharding,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_chat_formatting": chat.op4_chat_formatting,

@@ -10,10 +10,10 @@ Batches come in order of their documents. The array of a batch is merge-scanned
 with those of the existing levels, where every earlier document is: an entry that
 is not the first of its run is repeated whole. First entries form a new level;
 equal-sized levels merge geometrically. At the end, owners of several different
-segments (text around a repeat differs) have their segments' strings compared one
-by one: an owner's together in one bucket, or, where an owner has more than HOT, each
-string where its hash sends it. Hot entries are collapsed inside each chunk of text before
-any shuffle, so a passage in every document sends one entry a chunk.
+segments (text around a repeat differs) have their strings compared, an owner's
+together in one bucket or, where an owner has more than HOT segments, each string
+where its hash sends it. Hot entries are collapsed inside each chunk of text
+before any shuffle, so a passage in every document sends one entry a chunk.
 """
 
 from __future__ import annotations
