@@ -227,19 +227,19 @@ class PieceModel:
         rows, n = grid.shape
         c = _prefixes(grid)
         back, last = np.zeros((n + 1, rows), np.int64), np.full((n + 1, rows), -1, np.int64)
-        best = np.zeros((n + 1, rows), np.float32)
+        best = np.zeros((n + 1, rows))
         for e in range(1, n + 1):
             lengths = self.lengths[self.lengths <= e]  # longest first: the first of equals wins
             found = np.stack([self.find(_spans(c, e - k, k)) for k in map(int, lengths)])
             if self.kind == UNIGRAM:
-                value = np.where(found >= 0, best[e - lengths] + self.scores[found], np.float32(-np.inf))
+                value = np.where(found >= 0, best[e - lengths] + self.scores[found], -np.inf)
             else:
                 ok = (found >= 0) & self.whole[found]
                 before = last[e - lengths]
                 ask = np.nonzero(ok & (before >= 0))
                 if len(ask[0]):
                     ok[ask] = self._fit(before[ask], found[ask])
-                value = np.where(ok, np.float32(0), np.float32(-np.inf))
+                value = np.where(ok, 0.0, -np.inf)
             pick = value.argmax(0)
             r = np.arange(rows)
             best[e], back[e], last[e] = value[pick, r], lengths[pick], found[pick, r]
