@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ._common import _BASE, _UNBASE, byte_chunks, mix, powers, span_hash
 
@@ -341,7 +342,7 @@ def encode(df: DataFrame, model_path: str | None = None, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(n)) for i in range(len(rest))), lists], names=[*b.schema.names[:-1], "ids"])
 
     rows = df.select(*rest, F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, rows.drop("_text").schema.add("ids", "array<int>"))
+    return rows.mapInArrow(run, rows.drop("_text").schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(df: DataFrame, model_path: str | None = None) -> DataFrame:
