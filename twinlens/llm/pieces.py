@@ -33,8 +33,10 @@ from ._common import _BASE, _UNBASE, byte_chunks, mix, powers, span_hash
 SPACE = 0x2581
 _NORMAL, _BYTE = 1, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct words and pairs that a worker remembers before it starts anew.
-REMEMBERED = 1 << 19
+#: Distinct words that a worker remembers before it starts anew, and slots for pairs.
+REMEMBERED, PAIRS = 1 << 21, 1 << 21
+PAD = "\U0010ffff"  # in no piece
+_SIEVE = 1 << 20
 
 
 def default_model() -> str:
@@ -101,6 +103,8 @@ class PieceModel:
     dummy_prefix: bool
     whole: np.ndarray = field(default=None)  # pieces that merging their characters gives
     _pairs: tuple = field(default=None)
+    _sieve: np.ndarray = field(default=None)
+    _text: list[str] = field(default=None)
     _words: tuple = field(default=None)
 
     @classmethod
@@ -150,7 +154,6 @@ class PieceModel:
                 grid = np.stack([cps[ends[i] - n : ends[i]] for i in which])
                 m.whole[place[which]] = m._merge(grid)[1] == 1
             m._text = [text[i] for i in by]
-            m._pairs = (np.zeros(0, np.int64), np.zeros(0, bool))
         m._forget()
         return m
 
@@ -159,8 +162,15 @@ class PieceModel:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash among the keys, or -1."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at, -1)
+        if self._sieve is None:
+            self._sieve = np.zeros(_SIEVE, bool)
+            self._sieve[self.keys % np.uint64(_SIEVE)] = True
+        out = np.full(h.shape, -1)
+        likely = np.nonzero(self._sieve[h % np.uint64(_SIEVE)])
+        x = h[likely]
+        at = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
+        out[likely] = np.where(self.keys[at] == x, at, -1)
+        return out
 
     def _merge(self, grid: np.ndarray):
         """(ends of symbols, symbols) of rows of code points after all merges, each the
@@ -197,31 +207,26 @@ class PieceModel:
         return end, count
 
     def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether merging gives the pieces a and b for their concatenation."""
+        """Whether merging gives the pieces a and b for their concatenation. Answers
+        are kept in a table with one slot a hash; a newer pair takes its place."""
+        if self._pairs is None:
+            self._pairs = (np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool))
+        kept, fits = self._pairs
         key = a * len(self.keys) + b
-        have, fits = self._pairs
-        need = np.unique(key)
-        at = np.searchsorted(have, need)
-        need = need[(at == len(have)) | (have[np.minimum(at, max(len(have) - 1, 0))] != need)] if len(have) else need
-        if len(need):
+        slot = (mix(key.astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
+        out, new = fits[slot], kept[slot] != key
+        if new.any():
+            need, back = np.unique(key[new], return_inverse=True)
             first = [self._text[i] for i in need // len(self.keys)]
             both = [x + self._text[i] for x, i in zip(first, need % len(self.keys))]
-            size, ok = np.array([len(x) for x in both]), np.zeros(len(need), bool)
-            for n in np.unique(size):
-                which = np.flatnonzero(size == n)
-                grid = np.frombuffer("".join(both[i] for i in which).encode("utf-32-le"), "<u4").reshape(-1, n)
-                end, count = self._merge(grid)
-                ok[which] = (count == 2) & (end[:, 0] == np.array([len(first[i]) for i in which]))
-            if len(have) > 4 * REMEMBERED:
-                have, fits = have[:0], fits[:0]
-                missing = np.setdiff1d(np.unique(key), need)
-                self._pairs = (need, ok)
-                if len(missing):
-                    return self._fit(a, b)
-            have, fits = np.r_[have, need], np.r_[fits, ok]
-            by = np.argsort(have)
-            self._pairs = have, fits = have[by], fits[by]
-        return fits[np.searchsorted(have, key)]
+            width = max(map(len, both))
+            grid = np.frombuffer("".join(x.ljust(width, PAD) for x in both).encode("utf-32-le"), "<u4").reshape(-1, width)
+            end, _ = self._merge(grid)
+            ok = (end[:, 0] == np.array([len(x) for x in first])) & (end[:, 1] == np.array([len(x) for x in both]))
+            out[new] = ok[back]
+            at = slot[new]
+            kept[at], fits[at] = key[new], ok[back]
+        return out
 
     def segment(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows on end, pieces a row) for rows of known code points."""
@@ -316,9 +321,9 @@ class PieceModel:
         return [raw[a + skip * (b > a) : b] for a, b in zip(ends, ends[1:])]
 
 
-def _encoded(b: pa.Array, model: PieceModel):
+def _encoded(b: pa.Array, model: PieceModel, limit: int = 1 << 22):
     """(first row, texts, ids, ids a text) by chunks of whole texts."""
-    for at, off, data in byte_chunks(b):
+    for at, off, data in byte_chunks(b, limit):
         raw = data.tobytes()
         texts = [raw[x:y].decode() for x, y in zip(off, off[1:])]
         yield at, texts, *model.encode(texts)

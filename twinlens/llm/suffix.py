@@ -124,8 +124,9 @@ class SuffixFamily:
         for x in self.arrays():
             batch = batch.unionByName(x.withColumns({"again": F.lit(False), "own": F.lit(False)}))
         scan = Window.partitionBy("owner", "print").orderBy("doc", "start")
-        seen = stored(batch.withColumn("again", F.col("again") | (F.rank().over(scan) > 1)).where("own"), "suffix-batch")
-        fresh = seen.where("not again").select("owner", "print", "doc", "start", "n").dropDuplicates(["owner", "print"])
+        seen = batch.withColumns({"again": F.col("again") | (F.rank().over(scan) > 1), "first": F.row_number().over(scan) == 1})
+        seen = stored(seen.where("own"), "suffix-batch")
+        fresh = seen.where("first and not again").select("owner", "print", "doc", "start", "n")
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(fresh)
