@@ -106,7 +106,10 @@ class Nodes:
         return docs[order], keys[order]
 
 
-_DDL = "id long, n long, print_a long, print_b long, keys array<long>"
+#: Coordinates of the points that are compared before whole sets are fetched, and rows
+#: of leaves that one call handles.
+DIMS, CALL = 128, 5000
+_DDL = "id long, n long, print_a long, print_b long, keys array<long>, point binary"
 
 
 def _points(n_words: int, percent: int):
@@ -121,11 +124,13 @@ def _points(n_words: int, percent: int):
                 prints = np.zeros((2, size), np.uint64)
                 np.add.at(prints[0], doc, mix(h ^ np.uint64(0x5851F42D4C957F2D)))
                 np.add.at(prints[1], doc, mix(h ^ np.uint64(0x14057B7EF767814F)))
+                point = np.zeros((size, DIMS), "<i4")
+                np.add.at(point, (doc, (h % np.uint64(DIMS)).astype(np.int64)), 1)
                 owner, keys = nodes.keys(doc, h, n)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=size)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, size), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))],
-                    names=["id", "n", "print_a", "print_b", "keys"],
+                    [b.column(0).slice(at, size), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64))), pa.array([x.tobytes() for x in point], pa.binary())],
+                    names=["id", "n", "print_a", "print_b", "keys", "point"],
                 )
 
     return run
@@ -179,11 +184,44 @@ def leaf_links(sets: list[np.ndarray], block: np.ndarray, across: bool, percent:
     return links
 
 
+def _runs(table: pa.Table):
+    """The row numbers of each leaf's block pair in a table of several."""
+    keys = [table[c].to_numpy() for c in ("j", "i", "leaf")]
+    order = np.lexsort(keys)
+    new = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return np.split(order, np.flatnonzero(new) + 1) if len(order) else []
+
+
+def _near(percent: int):
+    """The rows that have a partner which the sum of coordinate minima allows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n, block = table["n"].to_numpy(), table["block"].to_numpy()
+        points = np.frombuffer(b"".join(table["point"].to_pylist()), "<i4").reshape(-1, DIMS)
+        keep = np.zeros(len(n), bool)
+        for rows in _runs(table):
+            p, m, own = points[rows], n[rows], block[rows]
+            across = (own != own[0]).any()
+            for k in range(1, len(rows)):
+                ok = np.minimum(p[:k], p[k]).sum(1) * (100 + percent) >= percent * (m[:k] + m[k])
+                if across:
+                    ok &= own[:k] != own[k]
+                if ok.any():
+                    keep[rows[:k][ok]] = keep[rows[k]] = True
+        return table.select(["leaf", "i", "j", "block", "id"]).filter(pa.array(keep))
+
+    return run
+
+
 def _leaf(percent: int):
     def run(table: pa.Table) -> pa.Table:
         ids, raw, block = table["id"].to_numpy(), table["shingles"].to_pylist(), table["block"].to_numpy()
-        links = leaf_links([np.frombuffer(x, "<u8") for x in raw], block, bool((block != block[0]).any()), percent)
-        a, b = (ids[[x[k] for x in links]] if links else np.zeros(0, np.int64) for k in range(2))
+        found = []
+        for rows in _runs(table):
+            own = block[rows]
+            links = leaf_links([np.frombuffer(raw[r], "<u8") for r in rows], own, bool((own != own[0]).any()), percent)
+            found += [(ids[rows[x]], ids[rows[y]]) for x, y in links]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
@@ -201,23 +239,27 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     points = stored(docs.mapInArrow(_points(n_words, percent), _DDL), "jaccard-points")
     same = ["n", "print_a", "print_b"]
-    classes = stored(points.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("class_id"), F.first("keys").alias("keys")), "jaccard-classes")
+    classes = stored(points.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("class_id"), F.first("keys").alias("keys"), F.first("point").alias("point")), "jaccard-classes")
     members = points.select("id", *same).join(classes.select(*same, "class_id"), same, "left")
     members = stored(members.select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "jaccard-members")
     drop_stored(points)
     node = classes.select(F.col("class_id").alias("id"), F.explode("keys").alias("node"))
     shared = node.groupBy("node").agg(F.min("id").alias("leaf"), F.max("id").alias("last")).where("leaf < last").select("node", "leaf")
     leaf = stored(node.join(shared, "node").select("leaf", "id").distinct(), "jaccard-leaves")
-    drop_stored(classes)
     blocks = leaf.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_blocks"))
     dealt = leaf.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     # a block meets itself where it is the only one, else each other block
     others = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     dealt = dealt.withColumn("other", F.explode(others)).select("leaf", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    calls = F.pmod(F.xxhash64("leaf", "i", "j"), F.lit(max(48, -(-leaf.count() // CALL)))).alias("call")
     # these lists grow with the corpus: merge joins, at any size
-    wanted = leaf.select("id").distinct().hint("merge")
+    points = classes.select(F.col("class_id").alias("id"), "n", "point").hint("merge")
+    near = dealt.join(points, "id").groupBy(calls).applyInArrow(_near(percent), "leaf long, i int, j int, block int, id long")
+    near = stored(near, "jaccard-near")
+    drop_stored(classes)
+    wanted = near.select("id").distinct().hint("merge")
     sets = stored(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(n_words), "id long, shingles binary"), "jaccard-sets")
-    links = dealt.join(sets.hint("merge"), "id").groupBy("leaf", "i", "j").applyInArrow(_leaf(percent), "a long, b long")
+    links = near.join(sets.hint("merge"), "id").groupBy(calls).applyInArrow(_leaf(percent), "a long, b long")
     return members, stored(links.distinct(), "jaccard-links")
 
 
