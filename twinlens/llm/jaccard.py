@@ -4,12 +4,12 @@ A document is its set of word shingles. Shingles are hashed into groups, and
 the document's point is its count in each group.
 
 Upper storey: sets of which one has m elements at most and whose Jaccard similarity
-reaches t differ in d(m) elements at most. With more than d(m) groups some
-group is the same in both, so documents meet under nodes (size class, group, the
-group's content). Enough groups are taken that one of those that are the same is
-not empty; the few documents with more empty groups than that have nodes for the
-empty ones too, so no pair is lost. All nodes that a document shares with others
-under the same smallest document are one leaf.
+reaches t differ in d(m) elements at most. Of d(m) + 1 + s groups, s + 1 are the same
+in both, empty ones among them. In an order that depends on a group's content
+only, the last of these is beyond the first s groups of either document. So each
+leaves out its first s, those with the fewest elements, and documents still meet
+under nodes (size class, group, the group's content); no pair is lost. All nodes
+that a document shares with others under the same smallest document are one leaf.
 
 Leaves: points are packed by size and coordinates into boxes of greatest counts.
 The sum of coordinate minima bounds the overlap, first with a box, then with a
@@ -59,7 +59,8 @@ def shingles(off: np.ndarray, data: np.ndarray, n_words: int):
 
 
 class Nodes:
-    """The upper storey for a similarity of percent / 100."""
+    """The upper storey for a similarity of percent / 100, in size classes that grow by
+    a quarter, so that a class's smallest sets fill its groups nearly as well."""
 
     def __init__(self, percent: int, first: int = 9):
         self.percent, self.first = percent, first
@@ -69,35 +70,42 @@ class Nodes:
         return int(2 * m * (100 - self.percent) // (100 + self.percent))
 
     def groups(self, m: int) -> tuple[int, int]:
-        """(groups, empty ones allowed) of the size class up to m."""
+        """(groups, of these left out) of the size class up to m."""
         d = self.differ(m)
-        spare = max(2, -(-d // 50))
+        spare = max(2, -(-2 * d // 5))
         return d + 1 + spare, spare
 
+    def tops(self, largest: int) -> list[int]:
+        """The greatest sizes of the classes, as far as sets of `largest` elements need."""
+        tops = [self.first]
+        while tops[-1] < largest:
+            tops.append(tops[-1] * 5 // 4)
+        return tops
+
     def keys(self, doc: np.ndarray, h: np.ndarray, n: np.ndarray):
-        """(document, node key) for documents of n elements with (doc, h)."""
-        top = np.full(len(n), self.first)
-        while (small := top < n).any():
-            top[small] *= 2
-        larger = n * 100 // self.percent > top  # may be linked with the next class
-        docs, keys = [], []
-        for m in np.unique(np.r_[top[n > 0], 2 * top[larger]]) if (n > 0).any() else ():
-            if not self.differ(m):
-                continue  # only equal sets are linked
-            groups, spare = self.groups(int(m))
-            mine = ((top == m) & (n > 0)) | (larger & (2 * top == m))
-            at = np.cumsum(mine) - 1
-            rows = mine[doc]
-            cell = at[doc[rows]] * groups + ((h[rows] >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
-            content = np.zeros(mine.sum() * groups, np.uint64)
-            np.add.at(content, cell, mix(h[rows] + np.uint64(m)))
-            full = np.zeros(len(content), bool)
-            full[cell] = True
-            empty = (~full).reshape(-1, groups)
-            keep = full | np.repeat(empty.sum(1) > spare, groups)
-            group = np.tile(np.arange(groups, dtype=np.uint64), int(mine.sum()))
+        """(document, node key) for documents of n elements with (doc, h), sorted by
+        document. Linked sets meet in the larger one's class, so a document is in
+        all classes from its own to that of its largest partner."""
+        first, partner = np.cumsum(n) - n, n * 100 // self.percent
+        docs, keys, below = [], [], 0
+        for m in self.tops(int(partner.max(initial=0))):
+            own = np.flatnonzero((n > 0) & (n <= m) & (partner > below))
+            below = m
+            if not len(own) or not self.differ(m):
+                continue  # without a difference only equal sets are linked
+            groups, spare = self.groups(m)
+            size = n[own]
+            at = np.repeat(np.arange(len(own)), size)
+            e = h[np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            cell = at * groups + ((e >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+            content = np.zeros(len(own) * groups, np.uint64)
+            np.add.at(content, cell, mix(e + np.uint64(m)))
+            group = np.tile(np.arange(groups, dtype=np.uint64), len(own))
             key = mix(content + mix(group * np.uint64(0x9E3779B97F4A7C15) + np.uint64(m)))
-            docs.append(np.repeat(np.flatnonzero(mine), groups)[keep])
+            count = np.minimum(np.bincount(cell, minlength=len(content)), 255).astype(np.uint64)
+            rank = ((count << np.uint64(56)) | (key >> np.uint64(8))).reshape(-1, groups)
+            keep = (rank >= np.partition(rank, spare, axis=1)[:, spare : spare + 1]).ravel()
+            docs.append(np.repeat(own, groups)[keep])
             keys.append(key[keep])
         if not docs:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -131,18 +139,6 @@ def _points(n_words: int, percent: int):
     return run
 
 
-def _sets(n_words: int):
-    def run(batches):
-        for b in batches:
-            for at, off, data in byte_chunks(b.column(1)):
-                doc, h = shingles(off, data, n_words)
-                n = np.bincount(doc, minlength=len(off) - 1)
-                raw, ends = h.astype("<u8").tobytes(), np.concatenate(([0], np.cumsum(n))) * 8
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array([raw[x:y] for x, y in zip(ends, ends[1:])], pa.binary())], names=["id", "shingles"])
-
-    return run
-
-
 def leaf_links(sets: list[np.ndarray], block: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among sorted sets; across: only pairs in
     different blocks are looked at."""
@@ -179,10 +175,13 @@ def leaf_links(sets: list[np.ndarray], block: np.ndarray, across: bool, percent:
     return links
 
 
-def _leaf(percent: int):
+def _leaf(n_words: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, raw, block = table["id"].to_numpy(), table["shingles"].to_pylist(), table["block"].to_numpy()
-        links = leaf_links([np.frombuffer(x, "<u8") for x in raw], block, bool((block != block[0]).any()), percent)
+        ids, block, sets = table["id"].to_numpy(), table["block"].to_numpy(), []
+        for _, off, data in byte_chunks(table["text"]):
+            doc, h = shingles(off, data, n_words)
+            sets += np.split(h, np.cumsum(np.bincount(doc, minlength=len(off) - 1))[:-1])
+        links = leaf_links(sets, block, bool((block != block[0]).any()), percent)
         a, b = (ids[[x[k] for x in links]] if links else np.zeros(0, np.int64) for k in range(2))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -206,18 +205,18 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = stored(members.select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "jaccard-members")
     drop_stored(points)
     node = classes.select(F.col("class_id").alias("id"), F.explode("keys").alias("node"))
-    shared = node.groupBy("node").agg(F.min("id").alias("leaf"), F.max("id").alias("last")).where("leaf < last").select("node", "leaf")
+    shared = stored(node.groupBy("node").agg(F.min("id").alias("leaf"), F.max("id").alias("last")).where("leaf < last").select("node", "leaf"), "jaccard-nodes")
     leaf = stored(node.join(shared, "node").select("leaf", "id").distinct(), "jaccard-leaves")
     drop_stored(classes)
+    drop_stored(shared)
     blocks = leaf.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_blocks"))
     dealt = leaf.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     # a block meets itself where it is the only one, else each other block
     others = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     dealt = dealt.withColumn("other", F.explode(others)).select("leaf", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    # these lists grow with the corpus: merge joins, at any size
-    wanted = leaf.select("id").distinct().hint("merge")
-    sets = stored(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(n_words), "id long, shingles binary"), "jaccard-sets")
-    links = dealt.join(sets.hint("merge"), "id").groupBy("leaf", "i", "j").applyInArrow(_leaf(percent), "a long, b long")
+    # texts go to their leaves: they take less room than sets of hashes; the leaf rows
+    # grow with the corpus: a merge join, at any size
+    links = docs.join(dealt.hint("merge"), "id").groupBy("leaf", "i", "j").applyInArrow(_leaf(n_words, percent), "a long, b long")
     return members, stored(links.distinct(), "jaccard-links")
 
 
