@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from twinlens.functions import similarity, text
-from twinlens.operators import stats
+from twinlens.functions import contact, maps, similarity, text
+from twinlens.operators import learning, stats, vectors
 from twinlens.plans import catalog
+from twinlens.streaming import items
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,7 +53,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "part", "customer", "orders", "lineitem"):
+    for t in ("documents", "part", "customer", "orders", "lineitem", "embeddings", "pages", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = catalog.QUERIES[name](spark, SF)
     columns = ", ".join(f'"{c}"' for c in got.columns)
@@ -62,3 +63,39 @@ def test_queries_agree_with_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_contact_cases(spark):
+    found = contact.contacts(F.col("s"))
+    row = spark.createDataFrame([("Пиши: Vasya@Яндекс.ру, a@маил.ру; www.shop.ru/x/ тел 8 (912) 345-67-89 #тег @@код@@ a.b.c.d.com 1.2abc.ru",), (None,)], "s string").select(*[c.alias(n) for n, c in found.items()]).collect()
+    assert (row[0]["emails"], row[0]["phones"]) == (["vasya@yandex.ru", "a@mail.ru"], ["+79123456789"])
+    assert (row[0]["links"], row[0]["hashtags"], row[0]["placeholders"]) == (["shop.ru/x"], ["#тег"], ["@@код@@"])
+    assert all(c == [] for c in row[1])
+
+
+def test_map_cases(spark):
+    pair = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
+    a, b = pair("x", 1.0, "y", 2.0), pair("y", 5.0, "z", 3.0)
+    row = spark.range(1).select(maps.merge_sum(a, b), maps.common_min(a, b), maps.common_min_share(a, b), maps.difference(a, b), maps.squared_distance(a, b), maps.cosine(a, b), maps.pairs_as_tokens(pair("A b", "C"))).first()
+    assert list(row) == [{"x": 1.0, "y": 7.0, "z": 3.0}, {"y": 2.0}, {"y": 2 / 6}, {"x": 1.0, "y": 3.0, "z": 3.0}, 19.0, pytest.approx(10 / math.sqrt(5 * 34)), ["a_b=c"]]
+
+
+def test_vector_cases(spark):
+    a, b, zero = (F.array(*map(F.lit, v)) for v in ((1.0, -2.0, 3.0), (2.0, -4.0, 6.0), (0.0, 0.0, 0.0)))
+    row = spark.range(1).select(vectors.squared_euclidean(a, b), vectors.manhattan(a, b), vectors.cosine(a, b), vectors.cosine(a, zero), vectors.correlation(a, b), vectors.sign_bits(a), vectors.hamming(F.lit(5), F.lit(3)), vectors.shared_ones(F.lit(5), F.lit(3))).first()
+    assert list(row) == pytest.approx([14.0, 6.0, 1.0, 0.0, 1.0, 5, 2, 1])
+
+
+def test_out_of_fold_scores_are_of_use_on_unseen_rows(spark):
+    rows = spark.range(400).select("id", F.col("id").cast("double").alias("x"), F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(9)).cast("double")).alias("noise"), ((F.col("id") + F.pmod(F.xxhash64("id"), F.lit(100))) > 250).cast("double").alias("label"))
+    out = learning.out_of_fold(rows.withColumn("fold", learning.fold("id")), ["x", "noise"], lambda: learning.stacker(1.0, 300)).cache()
+    assert out.select("id").distinct().count() == out.count() == 400
+    assert learning.auc(out) > 0.9
+
+
+def test_stream_of_items(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for n in (1, 2):
+        docs.where(F.col("doc_id") % 2 == n - 1).write.mode("append").parquet(str(tmp_path / "in"))
+        items.process_new(items.read_new(spark, str(tmp_path / "in"), docs.schema), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
