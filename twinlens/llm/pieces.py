@@ -34,7 +34,7 @@ SPACE = 0x2581
 _NORMAL, _BYTE = 1, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct words that a worker remembers before it starts anew, and slots for pairs.
-REMEMBERED, PAIRS = 1 << 21, 1 << 21
+REMEMBERED, PAIRS = 1 << 19, 1 << 20
 PAD = "\U0010ffff"  # in no piece
 _SIEVE = 1 << 20
 
@@ -231,12 +231,13 @@ class PieceModel:
     def segment(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows on end, pieces a row) for rows of known code points."""
         rows, n = grid.shape
-        c = _prefixes(grid)
+        c, unbase = np.ascontiguousarray(_prefixes(grid).T), powers(int(_UNBASE), n + 1)
         back, last = np.zeros((n + 1, rows), np.int64), np.full((n + 1, rows), -1, np.int64)
         best = np.zeros((n + 1, rows))
         for e in range(1, n + 1):
             lengths = self.lengths[self.lengths <= e]  # longest first: the first of equals wins
-            found = np.stack([self.find(_spans(c, e - k, k)) for k in map(int, lengths)])
+            spans = (c[e] - c[e - lengths]) * unbase[e - lengths][:, None]
+            found = self.find(mix(spans + lengths.astype(np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)))
             if self.kind == UNIGRAM:
                 value = np.where(found >= 0, best[e - lengths] + self.scores[found], -np.inf)
             else:
@@ -296,16 +297,16 @@ class PieceModel:
         hs, ns, out = [], [], []
         for n in np.unique(size[~strange]):
             which = np.flatnonzero((size == n) & ~strange)
-            for part in np.array_split(which, -(-len(which) * int(n) // (1 << 20))):
+            for part in np.array_split(which, -(-len(which) * int(n) // (1 << 18))):
                 found, many = self.segment(cps[start[part][:, None] + np.arange(n)])
                 hs.append(h[part]), ns.append(many), out.append(found)
         for i in np.flatnonzero(strange):
             b = self.byte_ids[list(chr(cps[start[i]]).encode("utf-8", "replace"))]
             hs.append(h[i : i + 1]), ns.append(np.array([len(b)])), out.append(b)
         h, n, out = np.concatenate(hs), np.concatenate(ns), np.concatenate(out)
-        h, n, starts = np.r_[known, h], np.r_[count, n], np.r_[first, len(ids) + np.cumsum(n) - n]
-        by = np.argsort(h)
-        self._words = (h[by], starts[by], n[by], np.r_[ids, out].astype(np.int32))
+        starts, by = len(ids) + np.cumsum(n) - n, np.argsort(h)
+        at = np.searchsorted(known, h[by])
+        self._words = (np.insert(known, at, h[by]), np.insert(first, at, starts[by]), np.insert(count, at, n[by]), np.r_[ids, out].astype(np.int32, copy=False))
 
     def tables(self):
         size = np.array([len(s) for s in self.surface])
@@ -321,7 +322,7 @@ class PieceModel:
         return [raw[a + skip * (b > a) : b] for a, b in zip(ends, ends[1:])]
 
 
-def _encoded(b: pa.Array, model: PieceModel, limit: int = 1 << 22):
+def _encoded(b: pa.Array, model: PieceModel, limit: int = 1 << 20):
     """(first row, texts, ids, ids a text) by chunks of whole texts."""
     for at, off, data in byte_chunks(b, limit):
         raw = data.tobytes()
