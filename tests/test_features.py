@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from twinlens.functions import contact, maps, similarity, text
+from twinlens.functions import contact, maps, similarity, text, tokens
 from twinlens.operators import learning, stats, vectors
-from twinlens.plans import catalog
+from twinlens.plans import catalog, token_queries, vector_queries  # noqa: F401
+from twinlens.sources import tables
 from twinlens.streaming import items
 
 SF = "/root/testdata/sf0.001"
@@ -53,7 +54,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "part", "customer", "orders", "lineitem", "embeddings", "pages", "events"):
+    for t in ("documents", "part", "customer", "orders", "lineitem", "embeddings", "pages", "events", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = catalog.QUERIES[name](spark, SF)
     columns = ", ".join(f'"{c}"' for c in got.columns)
@@ -99,3 +100,22 @@ def test_stream_of_items(spark, tmp_path):
         docs.where(F.col("doc_id") % 2 == n - 1).write.mode("append").parquet(str(tmp_path / "in"))
         items.process_new(items.read_new(spark, str(tmp_path / "in"), docs.schema), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+def test_token_cases(spark):
+    assert one(spark, tokens.sentences(F.col("s")), s="Цена 3.5 м². Ёж!; ?\nok") == ["цена 3 5 м2", "еж", "ok"]
+    words = F.array(*map(F.lit, ("abc", "а1", "b2", "aб", "1")))
+    row = spark.range(1).select(tokens.latin_only(words), tokens.cyrillic_with_digits(words), tokens.latin_with_digits(words), tokens.mixed_script(words), tokens.corrected(words, {"1": "one"}), tokens.without(words, ["1", "abc"])).first()
+    assert list(row) == [["abc"], ["а1"], ["b2"], ["aб"], ["abc", "а1", "b2", "aб", "one"], ["а1", "b2", "aб"]]
+    assert one(spark, tokens.exotic_characters(F.col("s")), s="aя☎☎") == ["☎"]
+    assert one(spark, tokens.mistakes(F.col("s")), s="a ,b (c. d") == {"space_before_comma": 1.0, "comma_without_space": 1.0, "lower_case_start": 1.0, "unpaired_bracket": 1.0}
+
+
+def test_tables(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": 1, "p": "{\\"k\\": \\"v\\"}"}\nbroken\n')
+    df = tables.read_json_lines(spark, str(tmp_path / "a.json"), spark.createDataFrame([], "id long, p string").schema).cache()
+    assert sorted(r["_rejected"] for r in df.collect() if r["_rejected"]) == ["broken"]
+    assert tables.with_properties(df, "p").where("id = 1").first()["properties"] == {"k": "v"}
+    dim = spark.createDataFrame([(2, "x")], "id long, name string")
+    assert tables.with_dimension(spark.createDataFrame([(1,), (2,)], "id long"), dim, "id").orderBy("id").collect() == [(1, "None"), (2, "x")]
+    assert tables.not_yet_done(spark.createDataFrame([(1,), (2,)], "id long"), dim, "id").collect() == [(1,)]
