@@ -104,3 +104,37 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([((i * 7) % n, ((i + 1) * 7) % n) for i in range(n - 1)] + [(1000, 1001), (5000, 5000)], "a long, b long")
     got = {r["id"]: r["component"] for r in rows(connected_components(links))}
     assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
+
+
+def brute_pairs(texts, n_words, percent):
+    """(class of each document, links between classes)."""
+    sets = sets_of(texts, n_words)
+    least = {}
+    for d in sorted(sets):
+        least.setdefault(frozenset(sets[d]), d)
+    classes = sorted(d for s, d in least.items() if s)
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    links = {(a, b) for i, b in enumerate(classes) for a in classes[:i] if linked(a, b)}
+    return {d: least[frozenset(s)] if s else d for d, s in sets.items()}, links
+
+
+@pytest.mark.parametrize("seed,n_words,percent,block", [(1, 3, 90, 256), (2, 1, 60, 8), (4, 3, 60, 3)])
+def test_every_link_against_brute_force(spark, monkeypatch, seed, n_words, percent, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    texts = family(seed)
+    base = [f"b{i}" for i in range(300)]
+    for k in range(30):  # all near each other
+        texts[2000 + k] = " ".join(base[:40 + k] + [f"edit{k}"] + base[40 + k :])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    df = df.union(df.where("doc_id % 4 = 0"))
+    classes, want = brute_pairs(texts, n_words, percent)
+    members, links = jaccard.jaccard_classes(df, n_words=n_words, percent=percent)
+    got = [(r["a"], r["b"]) for r in rows(links)]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(a >= 2000 for a, _ in got) == 30 * 29 // 2
+    assert {r["id"]: r["class_id"] for r in rows(members)} == classes
+    n_links = {d: sum(c in x for x in want) for d, c in classes.items()}
+    counted = rows(jaccard.jaccard_components(df, n_words=n_words, percent=percent))
+    assert {r["doc_id"]: r["n_links"] for r in counted} == n_links
+    top = {d: c for d, (_, c) in brute(texts, n_words, percent).items()}
+    assert {r["doc_id"]: r["component_id"] for r in counted} == top

@@ -13,18 +13,21 @@ that a document shares with others under the same smallest document are one leaf
 
 Leaves: points are packed by size and coordinates into boxes of greatest counts.
 The sum of coordinate minima bounds the overlap, first with a box, then with a
-point; pairs that survive are verified on whole shingle sets, unless they are
-in one component already, which loses no component. A leaf of many documents
-is dealt to blocks and block pairs, so no task holds a whole group.
-
-Equal sets are one class throughout; links are found between classes.
+point; every pair that survives is verified on whole shingle sets, in the smallest
+of the leaves that its sides share. A leaf of many documents is dealt to blocks and
+block pairs, so no task holds a whole group.
+
+Equal sets are one class throughout; links are found between classes, all of them:
+as pairs, or counted by class with a spanning forest for the components. Where
+only components are asked for (keep_one), pairs in one component already are not
+verified.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import byte_chunks, drop_stored, mix, stored, words
@@ -139,9 +142,14 @@ def _points(n_words: int, percent: int):
     return run
 
 
-def leaf_links(sets: list[np.ndarray], block: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sorted sets; across: only pairs in
-    different blocks are looked at."""
+def leaf_links(sets: list[np.ndarray], block: np.ndarray, across: bool, percent: int, early: list[set] | None = None) -> tuple[list, list]:
+    """(links, forest) of sorted sets, as pairs of positions; across: only pairs in
+    different blocks are looked at.
+
+    `early` has the smaller leaves of each set; a pair that shares one of them is
+    left to it, and links are all others. Without `early`, only pairs that join two
+    components are verified, and links are no more than the spanning forest.
+    """
     m = len(sets)
     n = np.array([len(s) for s in sets])
     dims = 1 << int(np.clip(np.ceil(np.log2(max(n.mean(), 1))), 5, 9))
@@ -151,7 +159,12 @@ def leaf_links(sets: list[np.ndarray], block: np.ndarray, across: bool, percent:
     sets, point, n, block = [sets[i] for i in order], point[order], n[order], block[order]
     boxes = np.arange(0, m, FANOUT)
     box, box_n = np.maximum.reduceat(point, boxes, axis=0), np.maximum.reduceat(n, boxes)
-    label, links = np.arange(m), []  # label: the component of each
+    label, links, forest = np.arange(m), [], []  # label: the component of each
+    if early is not None:
+        early = [early[i] for i in order]
+        elements, number = np.unique(np.concatenate(sets), return_inverse=True)
+        number = np.split(number.astype(np.int32), np.cumsum(n)[:-1])
+        mark = np.zeros(len(elements), np.uint8)
     for i in range(1, m):
         # partners before i, so no larger: the overlap needed grows with their size
         near = np.flatnonzero((box_n[: i // FANOUT + 1] * 100 >= percent * n[i]))
@@ -160,43 +173,66 @@ def leaf_links(sets: list[np.ndarray], block: np.ndarray, across: bool, percent:
             continue
         j = (near[:, None] * FANOUT + np.arange(FANOUT)).ravel()
         j = j[j < i]
-        j = j[(n[j] * 100 >= percent * n[i]) & (label[j] != label[i])]
+        j = j[n[j] * 100 >= percent * n[i]]
+        if early is None:
+            j = j[label[j] != label[i]]
         if across:
             j = j[block[j] != block[i]]
         if len(j):
             j = j[np.minimum(point[j], point[i]).sum(1) * (100 + percent) >= percent * (n[j] + n[i])]
-        for k in j[::-1]:
-            if label[k] == label[i]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-            if 100 * both >= percent * (n[i] + n[k] - both):
+        if early is None:
+            for k in j[::-1]:
+                if label[k] == label[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if 100 * both >= percent * (n[i] + n[k] - both):
+                    label[label == label[k]] = label[i]
+                    forest.append((int(order[i]), int(order[k])))
+            continue
+        if early[i]:
+            j = j[[early[i].isdisjoint(early[k]) for k in j]] if len(j) else j
+        if not len(j):
+            continue
+        mark[number[i]] = 1
+        both = np.add.reduceat(mark[np.concatenate([number[k] for k in j])], np.cumsum(n[j]) - n[j], dtype=np.int64)
+        mark[number[i]] = 0
+        for k in j[100 * both >= percent * (n[i] + n[j] - both)]:
+            links.append((int(order[i]), int(order[k])))
+            if label[k] != label[i]:
                 label[label == label[k]] = label[i]
-                links.append((int(order[i]), int(order[k])))
-    return links
+                forest.append(links[-1])
+    return (forest if early is None else links), forest
+
 
+def _leaf(n_words: int, percent: int, want: str):
+    """Rows (a, b, n) of one leaf, or of a pair of its blocks: links a < b with n null,
+    all of them ("pairs") or a spanning forest; with "counts" also, with b null, the
+    number n of a's links found here."""
 
-def _leaf(n_words: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         ids, block, sets = table["id"].to_numpy(), table["block"].to_numpy(), []
         for _, off, data in byte_chunks(table["text"]):
             doc, h = shingles(off, data, n_words)
             sets += np.split(h, np.cumsum(np.bincount(doc, minlength=len(off) - 1))[:-1])
-        links = leaf_links(sets, block, bool((block != block[0]).any()), percent)
-        a, b = (ids[[x[k] for x in links]] if links else np.zeros(0, np.int64) for k in range(2))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        early = None if want == "forest" else [set(x) for x in table["early"].to_pylist()]
+        across = table["i"][0].as_py() != table["j"][0].as_py()
+        # repeated rows of an id are one side of a link
+        links, forest = (np.sort(ids[np.array(x, np.int64).reshape(-1, 2)], axis=1) for x in leaf_links(sets, block, across, percent, early))
+        links, forest = (np.unique(x[x[:, 0] != x[:, 1]], axis=0) for x in (links, forest))
+        side, n = np.unique(links, return_counts=True) if want == "counts" else (links[:0, 0], links[:0, 0])
+        out = links if want == "pairs" else forest
+        none = [pa.nulls(k, pa.int64()) for k in (len(out), len(side))]
+        return pa.table({
+            "a": np.concatenate((out[:, 0], side)),
+            "b": pa.chunked_array([pa.array(out[:, 1]), none[1]]),
+            "n": pa.chunked_array([none[0], pa.array(n, pa.int64())]),
+        })
 
     return run
 
 
-def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has a row a document: id, n (shingles), class_id (the
-    smallest id with the same set); links (a, b) spans the components of classes.
-
-    Words are split at white space and A-Z lower-cased; a text of fewer words than a
-    shingle is one shingle. Two sets are linked when 100 * overlap >= percent *
-    union. Texts without words (null, empty, blank) have n 0 and no links, and
-    each is its own class; a null id takes part as a member of its class only.
-    """
+def _meet(df: DataFrame, id_col: str, text_col: str, n_words: int, percent: int, want: str) -> tuple[DataFrame, DataFrame]:
+    """(members, found): see jaccard_classes, and _leaf for the rows of found."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     points = stored(docs.mapInArrow(_points(n_words, percent), _DDL), "jaccard-points")
     same = ["n", "print_a", "print_b"]
@@ -210,29 +246,55 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     drop_stored(classes)
     drop_stored(shared)
     blocks = leaf.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_blocks"))
+    if want == "forest":
+        early = []
+    else:
+        # a document has no more leaves than nodes, so its list takes no more room than its text
+        smaller = Window.partitionBy("id").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+        leaf, early = leaf.withColumn("early", F.collect_list("leaf").over(smaller)), ["early"]
     dealt = leaf.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     # a block meets itself where it is the only one, else each other block
     others = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    dealt = dealt.withColumn("other", F.explode(others)).select("leaf", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.withColumn("other", F.explode(others)).select("leaf", "id", "block", *early, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     # texts go to their leaves: they take less room than sets of hashes; the leaf rows
     # grow with the corpus: a merge join, at any size
-    links = docs.join(dealt.hint("merge"), "id").groupBy("leaf", "i", "j").applyInArrow(_leaf(n_words, percent), "a long, b long")
-    return members, stored(links.distinct(), "jaccard-links")
+    found = docs.join(dealt.hint("merge"), "id").groupBy("leaf", "i", "j").applyInArrow(_leaf(n_words, percent, want), "a long, b long, n long")
+    return members, stored(found, "jaccard-links")
+
+
+def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members has a row a document: id, n (shingles), class_id (the
+    smallest id with the same set); links (a, b), a < b, has every pair of linked
+    classes once. k texts that are all near each other have k * (k - 1) / 2 links;
+    jaccard_components counts them without a row for each.
+
+    Words are split at white space and A-Z lower-cased; a text of fewer words than a
+    shingle is one shingle. Two sets are linked when 100 * overlap >= percent *
+    union. Texts without words (null, empty, blank) have n 0 and no links, and
+    each is its own class; a null id takes part as a member of its class only.
+    """
+    members, found = _meet(df, id_col, text_col, n_words, percent, "pairs")
+    return members, found.select("a", "b")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
-    """A row a document: id_col, n_shingles, class_id and component_id (the smallest
-    id reachable by links, itself included); see jaccard_classes."""
-    members, links = jaccard_classes(df, id_col, text_col, n_words, percent)
-    labels = connected_components(links).withColumnRenamed("id", "_class")
-    out = members.join(labels, members["class_id"] == labels["_class"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+    """A row a document: id_col, n_shingles, class_id, n_links (other classes that its
+    class is linked with) and component_id (the smallest id reachable by links,
+    itself included); see jaccard_classes. Without count_links there is no n_links,
+    and pairs in one component already are not verified."""
+    members, found = _meet(df, id_col, text_col, n_words, percent, "counts" if count_links else "forest")
+    labels = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "_class")
+    out, n_links = members.join(labels, members["class_id"] == labels["_class"], "left"), []
+    if count_links:
+        counts = found.where("b is null").groupBy(F.col("a").alias("_linked")).agg(F.sum("n").alias("_n_links"))
+        out, n_links = out.join(counts, out["class_id"] == counts["_linked"], "left"), [F.coalesce("_n_links", F.lit(0)).alias("n_links")]
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", *n_links, F.coalesce("component", "class_id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df with the smallest id of each component; rows with a null id and
     texts without words stay."""
-    gone = jaccard_components(df, id_col, text_col, n_words, percent).where(F.col(id_col) != F.col("component_id")).select(id_col)
+    gone = jaccard_components(df, id_col, text_col, n_words, percent, count_links=False).where(F.col(id_col) != F.col("component_id")).select(id_col)
     return df.join(gone, id_col, "left_anti")
 
 
