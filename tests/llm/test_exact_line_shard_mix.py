@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from twinlens.llm import sharding
 from twinlens.llm.exact_dedup import exact_dedup, kept_documents, op5_exact_dedup
 from twinlens.llm.line_dedup import line_dedup, op3_line_dedup
 from twinlens.llm.mixing import mix_sources, op8_mixing, source_targets
@@ -87,6 +88,21 @@ def test_op2_law(awkward, table, spark):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_op2_writes_whole_documents(awkward, nothing, table, spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "new_path", lambda spark, name: str(tmp_path / name))
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in rows(op2_sharding(spark, table(documents=awkward)))}
+    docs = {r["doc_id"]: r for r in rows(awkward)}
+    back = rows(spark.read.parquet(str(tmp_path / "shards")).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id()))
+    assert {r["doc_id"]: {c: r[c] for c in ("text", "lang", "source", "n_chars")} for r in back} == {d: {c: r[c] for c in ("text", "lang", "source", "n_chars")} for d, r in docs.items()}
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in back} == got
+    files = defaultdict(list)
+    for r in sorted(back, key=lambda r: r["at"]):
+        files[r["file"]].append((r["shard"], r["slot"]))
+    assert all(f == [(f[0][0], f[0][1] + k) for k in range(len(f))] for f in files.values())
+    monkeypatch.undo()
+    assert rows(op2_sharding(spark, table(documents=nothing))) == []
+
+
 def test_shards_follow_the_key_and_are_shuffled(spark):
     df = spark.range(6000).withColumnRenamed("id", "k")
     a = {r["k"]: r for r in shuffle_shards(df, "k", 5, seed=3, bucket_bytes=4096).collect()}

@@ -5,7 +5,8 @@ shard (the greatest of one seeded hash a shard), and a second seeded hash picks
 one of the shard's memory-sized buckets. Pass two shuffles each bucket with
 Spark's shuffle(), a Fisher-Yates shuffle of an array, and numbers its rows after
 those of the shard's earlier buckets. A shard is the concatenation of its
-shuffled buckets, a uniform permutation because the scatter is uniform.
+shuffled buckets, a uniform permutation because the scatter is uniform. Tasks
+hold ranges of shards and buckets, so shards are written without another shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._common import new_path
+
 BUCKET_BYTES = 8 << 20
 
 
@@ -46,12 +49,13 @@ def shuffle_shards(df: DataFrame, key: str, n_shards: int, seed: int = 0, bucket
         shard_of(k, n_shards, seed).alias("shard"),
         F.pmod(F.xxhash64(k, F.lit(seed), F.lit("bucket")), F.lit(n_buckets)).alias("bucket"),
     )
+    scattered = placed.repartitionByRange("shard", "bucket")
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     # sorted first, so that the order before the shuffle does not depend on how tasks ended
-    buckets = placed.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    shuffled = buckets.join(starts, ["shard", "bucket"]).select("shard", "start", F.shuffle("rows", F.lit(seed)).alias("rows"))
+    buckets = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    shuffled = buckets.join(F.broadcast(starts), ["shard", "bucket"]).select("shard", "start", F.shuffle("rows", F.lit(seed)).alias("rows"))
     out = shuffled.select("shard", "start", F.posexplode("rows").alias("at", "row")).select("row.*", "shard", (F.col("start") + F.col("at")).alias("slot"))
     newcomer = F.xxhash64(F.col(key), F.lit(seed), F.lit(n_shards)) > F.xxhash64(F.col(key), F.lit(seed), F.col("shard"))
     return out.withColumn("grown_shard", F.when(newcomer, F.lit(n_shards)).otherwise(F.col("shard")))
@@ -59,13 +63,23 @@ def shuffle_shards(df: DataFrame, key: str, n_shards: int, seed: int = 0, bucket
 
 def write_shards(sharded: DataFrame, path: str) -> None:
     """Writes shuffle_shards() output as Parquet, a folder a shard, each file in
-    slot order."""
-    sharded.repartition(F.col("shard"), F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    slot order and with a range of the slots."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     text = F.coalesce(F.col("text"), F.lit(""))
-    records = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shuffle_shards(records, "doc_id", 24, seed=2)
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    out = shuffle_shards(docs, "doc_id", 24, seed=2, record_bytes=F.octet_length(text) + 64)
+    path = new_path(spark, "shards")
+    write_shards(out, path)
+    back = spark.read.schema(out.schema).parquet(path)
+    return back.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        "grown_shard",
+    )
