@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from twinlens.llm import sharding
 from twinlens.llm.exact_dedup import exact_dedup, kept_documents, op5_exact_dedup
 from twinlens.llm.line_dedup import line_dedup, op3_line_dedup
-from twinlens.llm.mixing import mix_sources, op8_mixing, source_targets
+from twinlens.llm.mixing import emit_copies, mix_sources, op8_mixing, source_targets
 from twinlens.llm.sharding import op2_sharding, shuffle_shards, write_shards
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -172,3 +172,15 @@ def test_op8_mix(spark, table):
 def test_mix_odd_tables(repeated, nothing):
     assert mix_sources(repeated).count() == repeated.count()
     assert mix_sources(nothing).count() == 0
+
+
+def test_a_row_for_each_crossing(awkward, table, spark):
+    mixed = mix_sources(awkward.select("doc_id", "source", "text"), seed=8)
+    want = {r["doc_id"]: r for r in rows(mixed)}
+    got = defaultdict(list)
+    for r in rows(emit_copies(mixed)):
+        assert r["text"] == want[r["doc_id"]]["text"]
+        got[r["doc_id"]].append(r["_copy"])
+    assert {d: sorted(c) for d, c in got.items()} == {d: list(range(1, r["_copies"] + 1)) for d, r in want.items() if r["_copies"]}
+    taken = {r["doc_id"]: r["taken"] for r in rows(op8_mixing(spark, table(documents=awkward)))}
+    assert taken == {d: r["_copies"] * r["_size"] for d, r in want.items()}

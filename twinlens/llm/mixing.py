@@ -85,7 +85,16 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", size: Column | None = Non
     return joined.select(*df.columns, "_source_size", "_target", copies.alias("_copies"))
 
 
+def emit_copies(mixed: DataFrame, untaken: bool = False) -> DataFrame:
+    """The mix: a row of mix_sources() for each integer crossed, numbered from 1 by
+    _copy; with untaken, also one with _copy null for each row that is not taken."""
+    numbers = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))
+    return mixed.select("*", (F.explode_outer if untaken else F.explode)(numbers).alias("_copy"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    mixed = mix_sources(docs, size=F.col("size"), seed=8)
-    return mixed.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("size")).alias("taken"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    emitted = emit_copies(mix_sources(docs, seed=8), untaken=True)
+    taken = F.sum(F.when(F.col("_copy").isNotNull(), word_count(F.col("text"))).otherwise(F.lit(0)))
+    out = emitted.groupBy("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"))
+    return out.agg(taken.cast("long").alias("taken"))
