@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,18 +16,32 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\f\r"
 
-_CHUNK = 1 << 21  # bytes hashed at once; a longer text goes alone
+_CHUNK = 1 << 20  # bytes hashed at once; a longer text goes alone
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
+#: While a table is written: its shuffles' files go when the write ends (the table is
+#: whole, so nobody reads them again), and sorted runs keep their order and buckets.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # in Spark 4.1.2 an aggregate trusts a union of equally bucketed tables to be dealt alike,
+    # which generated code does not do
+    "spark.sql.unionOutputPartitioning": "false",
+}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    new temporary one where the session sets none (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the
+    session sets none, local runs get a temporary one; on several machines that would
+    lose rows silently, so there it is an error."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")
@@ -37,33 +51,81 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def make_dir(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    fs, path = _file_system(spark, path)
+    fs.mkdirs(path)
+
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, path = _file_system(spark, path)
+    fs.delete(path, True)
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, and a lost
-    executor costs no recomputation of what came before."""
+    executor costs no recomputation of what came before. by: a folder for each value."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with _settings(spark, _WRITING):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def run_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sorted_run(df: DataFrame, name: str, by: str, order: list[str], part: str | None = None) -> DataFrame:
+    """df, which an aggregate or window has dealt by `by`, written as sorted buckets: as
+    many as a shuffle has partitions, a file each. Joins and aggregates of runs by `by`
+    shuffle nothing, and joins on `order` sort nothing. part: a column with a folder for
+    each of its values, each folder sorted."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    # The table is whole, so its shuffles are not read again; Spark deletes their
-    # files once the JVM has found them unreachable.
-    gc.collect()
-    for _ in range(2):  # the second finds what the first made unreachable
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files of a stored() table that no later plan reads."""
-    spark = df.sparkSession
-    jvm, root = spark.sparkContext._jvm, shared_dir(spark).split(":", 1)[-1].rstrip("/")
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    with _settings(spark, _WRITING):
+        writer = df.write.option("path", path).bucketBy(run_buckets(spark), by).sortBy(*order).format("parquet")
+        (writer.partitionBy(part) if part else writer).saveAsTable(table)
+    out = spark.table(table)
+    out.stored_at, out.stored_as = path, table
+    return out
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes the files of stored() tables and sorted runs that no later plan reads."""
+    for df in tables:
+        if "stored_as" in df.__dict__:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.stored_as}")
+        drop_path(df.sparkSession, df.stored_at)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column of df has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def word_count(text: Column) -> Column:
@@ -72,11 +134,13 @@ def word_count(text: Column) -> Column:
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base ** 2 and so on; kept for a chunk's length, not for longer texts."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, _CHUNK), np.uint64(base), np.uint64)
+        have = np.full(max(n, _CHUNK + 1), np.uint64(base), np.uint64)
         have[0] = 1
-        _powers[base] = have = np.cumprod(have, dtype=np.uint64)
+        have = np.cumprod(have, dtype=np.uint64)
+        _powers[base] = have[: _CHUNK + 1].copy() if n > _CHUNK + 1 else have
     return have[:n]
 
 
@@ -129,6 +193,43 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * powers(int(_UNBASE), n)[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """span_hash() of all of data, a piece at a time."""
+    total, step = 0, _CHUNK
+    for at in range(0, len(data), step):
+        piece = (data[at : at + step].astype(np.uint64) + np.uint64(1)) * powers(int(_BASE), min(step, len(data) - at))
+        total += int(piece.sum(dtype=np.uint64)) * pow(int(_BASE), at, 1 << 64)
+    total += len(data) * 0xD6E8FEB86659FD93
+    return mix(np.array([total & ((1 << 64) - 1)], np.uint64))[0]
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """span_hash() of spans that are in order and do not overlap, with memory for about a
+    chunk, however long the text is."""
+    if len(data) <= 2 * _CHUNK:
+        return span_hash(prefix_hash(data), start, end)
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + _CHUNK, "right")))
+        a, b = start[i], end[j - 1]
+        if b - a > 2 * _CHUNK:
+            out[i] = _long_hash(data[a:b])
+        else:
+            out[i:j] = span_hash(prefix_hash(data[a:b]), start[i:j] - a, end[i:j] - a)
+        i = j
+    return out
+
+
+def count_by_text(offsets: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text of a chunk, how many of its bytes `counts` (by byte) is true for."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for at in range(0, len(data), _CHUNK):
+        c = np.concatenate(([0], np.cumsum(counts[data[at : at + _CHUNK]])))
+        near = np.clip(offsets - at, 0, len(c) - 1)
+        out += c[near[1:]] - c[near[:-1]]
+    return out
+
+
 def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False):
     """(document, start, end, hash) of each word of the texts in a chunk."""
     if lower:
@@ -136,7 +237,8 @@ def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False):
     inside = ~_IS_WS[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
+    first[-1] = True
     starts = np.flatnonzero(inside & (first[:-1] | ~np.concatenate(([False], inside[:-1]))))
-    ends = np.flatnonzero(inside & (first[1:] | ~np.concatenate((inside[1:], [False])) | (np.arange(len(data)) == len(data) - 1))) + 1
+    ends = np.flatnonzero(inside & (first[1:] | ~np.concatenate((inside[1:], [False])))) + 1
     doc = np.searchsorted(offsets, starts, "right") - 1
-    return doc, starts, ends, span_hash(prefix_hash(data), starts, ends)
+    return doc, starts, ends, hash_spans(data, starts, ends)

@@ -26,5 +26,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         done = new.where("old <> component").isEmpty()
         drop_stored(labels)
         labels = new.select("id", "component")
+        labels.stored_at = new.stored_at
         if done:
+            drop_stored(both)
             return labels
