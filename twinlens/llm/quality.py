@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import byte_chunks, mix, prefix_hash, span_hash, stored, words
+from ._common import _IS_WS, byte_chunks, count_by_text, free_name, hash_spans, mix, prefix_hash, quoted, span_hash, stored, words
 
 #: Common words of the four languages of the documents.
 STOP_WORDS = (
@@ -28,8 +28,12 @@ STOP_WORDS = (
 ).split()
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(0xC0, 256)]] = True
+_WORD_CHAR = ~_IS_WS & ((np.arange(256) & 0xC0) != 0x80)  # first bytes of characters in words
+_LATIN = np.zeros(256, bool)
+_LATIN[[*range(65, 91), *range(97, 123)]] = True
+#: Whether a code point below 0x10000 is a letter; those beyond count from 0x20000 (Han).
+_LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
+_CHUNK = 1 << 19
 _END = np.zeros(256, bool)
 _END[list(b".!?:;\"'")] = True
 
@@ -56,25 +60,33 @@ def _distinct_surplus(doc: np.ndarray, h: np.ndarray):
     return later, any_
 
 
+def _other_letters(off: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Letters beyond ASCII of each text, from the two to four bytes of a character."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return np.zeros(len(off) - 1, np.int64)
+    b = [data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 0x3F for k in range(4)]
+    two, three = ((b[0] & 0x1F) << 6) | b[1], ((b[0] & 0xF) << 12) | (b[1] << 6) | b[2]
+    four = ((b[0] & 7) << 18) | (b[1] << 12) | (b[2] << 6) | b[3]
+    first = data[lead]
+    point = np.where(first < 0xE0, two, np.where(first < 0xF0, three, four))
+    letter = np.where(point < 0x10000, _LETTER[point & 0xFFFF], point >= 0x20000)
+    return np.bincount(np.searchsorted(off, lead[letter], "right") - 1, minlength=len(off) - 1)
+
+
 def text_features(texts: pa.Array) -> dict[str, np.ndarray]:
     """FEATURES of each text, whole; a null text is empty."""
     out = {k: np.zeros(len(texts), np.int64) for k in FEATURES}
-    for at, off, data in byte_chunks(texts):
+    for at, off, data in byte_chunks(texts, _CHUNK):
         n = len(off) - 1
         if not len(data):
             continue
         to = slice(at, at + n)
-
-        def per_doc(mask):
-            c = np.concatenate(([0], np.cumsum(mask)))
-            return c[off[1:]] - c[off[:-1]]
-
         doc, start, end, h = words(off, data)
         out["n_words"][to] = np.bincount(doc, minlength=n)
-        c = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        out["word_chars"][to] = np.bincount(doc, c[end] - c[start], n).astype(np.int64)
-        out["n_symbols"][to] = per_doc(_SYMBOL[data])
-        out["n_letters"][to] = per_doc(_LETTER[data])
+        out["word_chars"][to] = count_by_text(off, data, _WORD_CHAR)
+        out["n_symbols"][to] = count_by_text(off, data, _SYMBOL)
+        out["n_letters"][to] = count_by_text(off, data, _LATIN) + _other_letters(off, data)
         low = words(off, data, lower=True)[3]
         out["n_stop_words"][to] = np.bincount(doc, _STOP[np.minimum(np.searchsorted(_STOP, low), len(_STOP) - 1)] == low, n).astype(np.int64)
         # lines: between line feeds and text ends, those with a word only
@@ -85,7 +97,7 @@ def text_features(texts: pa.Array) -> dict[str, np.ndarray]:
         wordy = np.searchsorted(start, le) > np.searchsorted(start, ls)
         ls, le, ld = ls[wordy], le[wordy], ld[wordy]
         out["n_lines"][to] = np.bincount(ld, minlength=n)
-        later, _ = _distinct_surplus(ld, span_hash(prefix_hash(data), ls, le))
+        later, _ = _distinct_surplus(ld, hash_spans(data, ls, le))
         out["n_dup_lines"][to] = np.bincount(ld, later, n).astype(np.int64)
         last = end[np.searchsorted(start, le) - 1] - 1
         out["n_ended_lines"][to] = np.bincount(ld, _END[data[last]], n).astype(np.int64)
@@ -98,18 +110,23 @@ def text_features(texts: pa.Array) -> dict[str, np.ndarray]:
             at_w = np.flatnonzero(whole)
             _, twice = _distinct_surplus(doc[at_w], mix(g[at_w]))
             step = np.zeros(len(doc) + 1, np.int64)
-            np.add.at(step, at_w[twice], 1)
-            np.add.at(step, at_w[twice] + WINDOW, -1)
+            step[at_w[twice]] += 1  # a window starts once at a word
+            step[at_w[twice] + WINDOW] -= 1
             out["n_repeat_words"][to] = np.bincount(doc, np.cumsum(step[:-1]) > 0, n).astype(np.int64)
     return out
 
 
 @F.arrow_udf(StructType([StructField(k, LongType()) for k in FEATURES]))
-def features(text: pa.Array) -> pa.Array:
+def _features(text: pa.Array) -> pa.Array:
     f = text_features(text)
     return pa.StructArray.from_arrays([pa.array(f[k]) for k in FEATURES], names=list(FEATURES))
 
 
+#: Declared as not deterministic, so that the optimiser evaluates it once where it stands
+#: and does not copy it into filters and projections.
+features = _features.asNondeterministic()
+
+
 def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
@@ -131,6 +148,9 @@ def votes(f: Column) -> list[Column]:
     ]
 
 
+N_RULES = 7
+
+
 @dataclass
 class LabelModel:
     """P(good) of each vote pattern, from EM over pattern counts."""
@@ -188,35 +208,54 @@ def base_failed(f: Column) -> Column:
     return (f["n_words"] < 20) | (f["n_repeat_words"] * 100 > f["n_words"] * 30)
 
 
+def _with_posterior(rows: DataFrame, pattern: str, to: str) -> DataFrame:
+    """rows with the posterior of their vote pattern, -1 (base failed) having none; fitted
+    over all rows, joined as a table of 2,187 rows at most."""
+    fit = rows.where(F.col(pattern) >= 0).select(F.col(pattern).alias("pattern"))
+    p = _posteriors(rows.sparkSession, fit, N_RULES)
+    p = F.broadcast(p.select(F.col("pattern").alias(f"{pattern}_"), F.col("posterior").alias(to)))
+    return rows.join(p, F.col(pattern) == F.col(f"{pattern}_"), "left").drop(f"{pattern}_")
+
+
+def _pattern(f: Column) -> Column:
+    return F.when(base_failed(f), F.lit(-1)).otherwise(_code(votes(f))).cast("int")
+
+
 def score(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df's columns but the text, with _f (features), _posterior and _kept; the
     rows are stored, without texts, so the texts are read once.
 
     A text fails at once below 20 words or with over 30 % repeated words (null and
-    empty texts do); all others are kept from a posterior of 0.5. Repeated rows
-    are scored alike; an empty table gives an empty one.
+    empty texts do); all others are kept from a posterior of 0.5, which a text that
+    fails lacks (null). Repeated rows are scored alike; an empty table gives an empty
+    one. Other columns pass through, whatever their names; own columns named _f,
+    _posterior or _kept are replaced.
     """
-    f = F.col("_f")
-    rows = stored(df.withColumn("_f", features(text_col)).drop(text_col), "quality")
-    rows = rows.withColumn("_pattern", _code(votes(f)).cast("int"))
-    fit = rows.where(~base_failed(f)).select(F.col("_pattern").alias("pattern"))
-    posteriors = F.broadcast(_posteriors(df.sparkSession, fit, len(votes(f))))
-    rows = rows.join(posteriors, F.col("_pattern") == F.col("pattern"), "left").withColumn("_posterior", F.coalesce("posterior", F.lit(0.5)))
-    return rows.withColumn("_kept", ~base_failed(f) & (F.col("_posterior") >= 0.5)).drop("pattern", "posterior", "_pattern")
-
-
-def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose text is kept. The label model is fitted over all rows,
-    then each text is judged in place, so no text is shuffled."""
-    f = F.col("_f")
-    coded = stored(df.select(features(text_col).alias("_f")).where(~base_failed(f)).select(_code(votes(f)).cast("int").alias("pattern")), "quality")
-    posteriors = F.broadcast(_posteriors(df.sparkSession, coded, len(votes(f))))
-    judged = df.withColumn("_f", features(text_col)).withColumn("_pattern", _code(votes(f)).cast("int"))
-    judged = judged.where(~base_failed(f)).join(posteriors, F.col("_pattern") == posteriors["pattern"], "left")
-    return judged.where(F.coalesce("posterior", F.lit(0.5)) >= 0.5).select(*df.columns)
+    rest = [c for c in df.columns if c not in (text_col, "_f", "_posterior", "_kept")]
+    pattern = free_name(df, "_pattern")
+    rows = df.select(*map(quoted, rest), features(text_col).alias("_f")).withColumn(pattern, _pattern(F.col("_f")))
+    rows = _with_posterior(stored(rows, "quality"), pattern, "_posterior")
+    kept = (F.col(pattern) >= 0) & (F.coalesce("_posterior", F.lit(0.0)) >= 0.5)
+    return rows.withColumn("_kept", kept).select(*map(quoted, rest), "_f", "_posterior", "_kept")
+
+
+def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of df whose text is kept, as score() judges it. Features are taken in one
+    pass, which stores the rows that pass the base rules with their vote pattern; the
+    label model is fitted over the stored patterns, then each stored row is judged, so no
+    text is shuffled or read twice. Columns of any name pass through; null and empty
+    texts go; an empty table gives an empty one."""
+    pattern, posterior = free_name(df, "_pattern"), free_name(df, "_posterior")
+    f = free_name(df, "_f")
+    rows = df.withColumn(f, features(text_col)).withColumn(pattern, _pattern(F.col(f))).drop(f)
+    rows = _with_posterior(stored(rows.where(F.col(pattern) >= 0), "quality"), pattern, posterior)
+    return rows.where(F.col(posterior) >= 0.5).select(*map(quoted, df.columns))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, base_failed, kept and posterior of every document, whole texts. Null,
+    empty and blank texts have zero counts and fail; repeated rows each have a row; an
+    empty table gives no rows; other columns of documents are not read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     f = F.col("_f")
     return score(docs).select("doc_id", *[f[k].alias(k) for k in FEATURES[:5]], base_failed(f).alias("base_failed"), F.col("_kept").alias("kept"), F.col("_posterior").alias("posterior"))
