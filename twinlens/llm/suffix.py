@@ -2,15 +2,16 @@
 
 Every string of `match` bytes is owned by the leftmost seed (a short string in it)
 of least hash, which its own bytes decide; so equal strings have equal owners,
-and the consecutive strings of one owner form a segment. A batch's suffix array holds one entry a
-segment, sorted by owner and by a fingerprint of the segment's bytes instead of
+and the consecutive strings of one owner form a segment. A batch's suffix array holds one
+entry a segment, sorted by owner and by a fingerprint of the segment's bytes instead of
 by the bytes, which brings equal beginnings together at a tenth of the volume.
 
-Batches come in order of their documents. The array of a batch is merge-scanned
-with those of the existing levels, where every earlier document is: an entry that
-is not the first of its run is repeated whole. First entries form a new level;
-equal-sized levels merge geometrically. At the end, owners of several different
-segments (text around a repeat differs) have their strings compared, an owner's
+Batches come in order of their documents, and grow with the corpus. The array of a batch
+is merge-scanned with those of the existing levels, where every earlier document is: an
+entry that is not the first of its run, or that a level has, is repeated whole. The
+others form a new array, stored as sorted buckets, so that no later batch shuffles or
+sorts it again; equal-sized arrays merge geometrically. At the end, owners of several
+different segments (text around a repeat differs) have their strings compared, an owner's
 together in one bucket or, where an owner has more than HOT segments, each string
 where its hash sends it. Hot entries are collapsed inside each chunk of text
 before any shuffle, so a passage in every document sends one entry a chunk.
@@ -25,10 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ._common import _UNBASE, byte_chunks, drop_stored, mix, powers, prefix_hash, span_hash, stored
+from ._common import _CHUNK, _UNBASE, byte_chunks, drop_stored, free_name, mix, powers, prefix_hash, quoted, run_buckets, sorted_run, span_hash, stored
 
 MATCH, SEED = 100, 32
+#: Batches of a corpus. Each reads the levels once, so their number stays and their size grows.
+BATCHES = 8
 #: Segments whose strings one bucket compares, and of one owner at most.
 BUCKET, HOT = 20_000, 10_000
 _ENTRY = pa.schema([("owner", pa.int64()), ("print", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
@@ -83,75 +87,103 @@ def _entries(match: int):
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for at, off, data in byte_chunks(b.column(1)):
+            for at, off, data in byte_chunks(b.column(1), _CHUNK):
                 if (off[1:] - off[:-1]).max() < match:
                     continue
-                owner, fp, start, n = segments(off, data, match, min(SEED, match))
-                row = np.searchsorted(off, start, "right") - 1
-                doc, start = ids[at + row], start - off[row]
-                yield _rows(owner, fp, doc, start, n, _later([fp, owner], doc, start))
+                # a long text goes in pieces that share match - 1 bytes, so none of its strings is cut
+                long = len(off) == 2 and len(data) > 2 * _CHUNK
+                for a in range(0, len(data) - match + 1, _CHUNK) if long else (0,):
+                    piece, ends = (data[a : a + _CHUNK + match - 1], np.array([0, min(_CHUNK + match - 1, len(data) - a)])) if long else (data, off)
+                    owner, fp, start, n = segments(ends, piece, match, min(SEED, match))
+                    row = np.searchsorted(ends, start, "right") - 1
+                    doc, start = ids[at + row], start - ends[row] + a
+                    yield _rows(owner, fp, doc, start, n, _later([fp, owner], doc, start))
 
     return run
 
 
 class SuffixFamily:
-    """Levels of sparse suffix arrays: each a list of stored tables (owner, print,
-    doc, start, n), all of whose segments differ."""
+    """Levels of sparse suffix arrays: sorted runs (owner, print, doc, start, n), all of
+    whose segments differ. Two runs of a level are merged into one of the next, so a
+    level's runs are twice as large as those of the level before."""
 
     def __init__(self):
         self.levels: list[list[DataFrame]] = []
+        self.merges = 0
 
     def arrays(self) -> list[DataFrame]:
         return [x for level in self.levels for x in level]
 
-    def _settle(self) -> None:
-        """Merges equal-sized levels, the smallest first."""
-        for k in range(len(self.levels)):
-            if len(self.levels[k]) >= 2:
-                two, self.levels[k] = self.levels[k], []
-                merged = stored(reduce(DataFrame.unionByName, two).repartition("owner").sortWithinPartitions("owner", "print"), "suffix-level")
-                for x in two if k else ():  # a batch's table still has its repeats
-                    drop_stored(x)
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[k + 1].append(merged)
+    def _merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Both runs as one: a merge of their sorted buckets, without a shuffle. No segment
+        is in both."""
+        self.merges += 1
+        rest = ("doc", "start", "n")
+        b = b.select("owner", "print", *[F.col(c).alias(f"{c}_b") for c in rest])
+        rows = a.join(b.hint("merge"), ["owner", "print"], "full")
+        return sorted_run(rows.select("owner", "print", *[F.coalesce(c, f"{c}_b").alias(c) for c in rest]), "suffix-level", "owner", ["owner", "print"])
+
+    def _push(self, run: DataFrame, level: int) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) == 2:
+            two, self.levels[level] = self.levels[level], []
+            self._push(self._merged(*two), level + 1)
+            drop_stored(*two)
 
     def add(self, entries: DataFrame) -> DataFrame:
         """Adds a batch whose documents all come after those before; returns its
-        repeated segments (doc, start, n)."""
-        self._settle()
-        batch = entries.withColumn("own", F.lit(True))
-        for x in self.arrays():
-            batch = batch.unionByName(x.withColumns({"again": F.lit(False), "own": F.lit(False)}))
+        repeated segments (doc, start, n), stored.
+
+        The batch is sorted once and merge-scanned with the runs there are, which lie
+        sorted in the same buckets; its first entries that no run has are its array."""
         scan = Window.partitionBy("owner", "print").orderBy("doc", "start")
-        seen = batch.withColumns({"again": F.col("again") | (F.rank().over(scan) > 1), "first": F.row_number().over(scan) == 1})
-        seen = stored(seen.where("own"), "suffix-batch")
-        fresh = seen.where("first and not again").select("owner", "print", "doc", "start", "n")
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(fresh)
-        return seen.where("again").select("doc", "start", "n")
+        batch = entries.repartition(run_buckets(entries.sparkSession), "owner").withColumns({"rank": F.rank().over(scan), "row": F.row_number().over(scan)})
+        repeated = F.col("again") | (F.col("rank") > 1)
+        for i, x in enumerate(self.arrays()):  # a segment is once in a run, so no row is multiplied
+            batch = batch.join(x.select("owner", "print", F.lit(True).alias(f"in_{i}")).hint("merge"), ["owner", "print"], "left")
+            repeated = repeated | F.col(f"in_{i}").isNotNull()
+        batch = batch.withColumn("repeated", repeated).where("repeated or row = 1").select(*_ENTRY.names[:5], "repeated")
+        seen = sorted_run(batch, "suffix-batch", "owner", ["owner", "print"], "repeated")
+        fresh = seen.where("not repeated").select(*_ENTRY.names[:5])
+        fresh.stored_at = f"{seen.stored_at}/repeated=false"
+        self._push(fresh, 0)
+        again = seen.where("repeated").select("doc", "start", "n")
+        again.stored_at, again.stored_as = seen.stored_at, seen.stored_as
+        return again
 
     def split_owners(self) -> DataFrame:
-        """The segments (owner, doc, start, n, hot) of owners that have several; hot:
-        more than HOT."""
-        index = reduce(DataFrame.unionByName, self.arrays())
+        """The segments (owner, doc, start, n, hot) of owners that have several, stored;
+        hot: more than HOT. Merges what levels are left and drops the runs."""
+        index, *rest = self.arrays()
+        for x in rest:
+            index, before = self._merged(index, x), index
+            drop_stored(before, x)
+        self.levels = []
         several = index.groupBy("owner").agg(F.min("print").alias("a"), F.max("print").alias("b"), (F.count("*") > HOT).alias("hot")).where("a <> b")
-        return index.join(several, "owner").select("owner", "doc", "start", "n", "hot")
+        out = stored(index.join(several.hint("merge"), "owner").select("owner", "doc", "start", "n", "hot"), "suffix-unsure")
+        drop_stored(index)
+        return out
 
 
 def _cut_out(b: pa.RecordBatch, match: int):
-    """For each chunk of texts: (documents' ids, hash prefix, bytes, list entries
-    as text row, start, strings and owner)."""
+    """The listed segments of a batch of texts as (document, start, strings, owner, ends,
+    bytes on end), about a chunk of bytes at a time."""
     ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
     sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
     start, n, owner = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
     first = np.concatenate(([0], np.cumsum(sizes)))
     for at, off, data in byte_chunks(b.column(1)):
-        part = slice(first[at], first[at + len(off) - 1])
+        part = np.arange(first[at], first[at + len(off) - 1])
         row = np.repeat(np.arange(len(off) - 1), sizes[at : at + len(off) - 1])
-        if len(row):
-            yield ids[at + row], off[row] + start[part], data, start[part], n[part], owner[part]
+        reach = np.cumsum(n[part] + match - 1)
+        for to in np.split(np.arange(len(part)), np.flatnonzero(np.diff(reach // _CHUNK)) + 1):
+            if len(to):
+                i, r = part[to], row[to]
+                item, k = _spread(n[i] + match - 1)
+                ends = np.concatenate(([0], np.cumsum(n[i] + match - 1)))
+                yield ids[at + r], start[i], n[i], owner[i], ends, data[(off[r] + start[i])[item] + k]
 
 
 def _spread(n: np.ndarray):
@@ -165,9 +197,9 @@ def _windows(match: int):
 
     def run(batches):
         for b in batches:
-            for doc, at, data, start, n, _ in _cut_out(b, match):
+            for doc, start, n, _, ends, data in _cut_out(b, match):
                 item, k = _spread(n)
-                h = span_hash(prefix_hash(data), at[item] + k, at[item] + k + match)
+                h = span_hash(prefix_hash(data), ends[item] + k, ends[item] + k + match)
                 doc, place = doc[item], start[item] + k
                 yield _rows(h, h, doc, place, np.ones(len(h)), _later([h], doc, place))
 
@@ -182,10 +214,8 @@ def _pieces(match: int):
 
     def run(batches):
         for b in batches:
-            for doc, at, data, start, n, owner in _cut_out(b, match):
-                item, k = _spread(n + match - 1)
-                ends = np.concatenate(([0], np.cumsum(n + match - 1))).astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data[at[item] + k])])
+            for doc, start, n, owner, ends, data in _cut_out(b, match):
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), raw], schema=_PIECE)
 
     return run
@@ -195,17 +225,18 @@ def _compare(match: int):
     """Repeated strings, as runs, among segments whose owners are all here."""
 
     def run(t: pa.Table) -> pa.Table:
-        doc, start, n = (t[c].to_numpy().astype(np.int64) for c in ("doc", "start", "n"))
-        order = np.lexsort((start, doc))
-        doc, start, n = doc[order], start[order], n[order]
+        owner, doc, start, n = (t[c].to_numpy().astype(np.int64) for c in ("owner", "doc", "start", "n"))
+        order = np.lexsort((start, doc, owner))
+        owner, doc, start, n = owner[order], doc[order], start[order], n[order]
         found = []
         for _, off, data in [next(byte_chunks(t["bytes"].combine_chunks().take(pa.array(order)), 1 << 62))]:
             item, k = _spread(n)
             h = span_hash(prefix_hash(data), off[item] + k, off[item] + k + match)
-            # items are in order of place, and a stable sort keeps equal strings so
+            # items are in order of owner and place, and a stable sort keeps equal strings so;
+            # equal strings have equal owners, so hashes that collide are told apart by these
             by = np.argsort(h, kind="stable")
             x, s = h[by], item[by]
-            new = np.r_[True, x[1:] != x[:-1]]
+            new = np.r_[True, (x[1:] != x[:-1]) | (owner[s[1:]] != owner[s[:-1]])]
             head = s[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             again = np.zeros(len(h), bool)
             again[by] = (head != s) & ((doc[head] != doc[s]) | (start[head] != start[s]))
@@ -228,19 +259,20 @@ def _batches(df: DataFrame, n: int) -> list[DataFrame]:
     return [df.where(w) for w in [doc <= cuts[0], *[(doc > a) & (doc <= b) for a, b in zip(cuts, cuts[1:])], doc > cuts[-1]]]
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, n_batches: int = 2) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, n_batches: int = BATCHES) -> DataFrame:
     """id_col and spans (start, end) of the UTF-8 bytes covered by a string of `match`
     bytes that starts earlier too: in a smaller id, or in the same text before.
 
     Documents without such bytes have no row. Strings never cross documents and
     are judged on the input. Ids are unique but for repeated rows, which are one
-    document; rows with a null id or text have no spans and are no source.
+    document; rows with a null id or text have no spans and are no source. An empty
+    table gives an empty one; other columns are ignored.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
+    docs = df.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.col(quoted(text_col)).alias("text")).where("doc is not null and text is not null")
     family, whole = SuffixFamily(), []
     for batch in _batches(docs, n_batches):
         whole.append(family.add(batch.mapInArrow(_entries(match), _ENTRY_DDL)))
-    unsure = stored(family.split_owners(), "suffix-unsure")
+    unsure = family.split_owners()
 
     def texts(segments: DataFrame) -> DataFrame:
         listed = segments.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "owner")).alias("segments"))
@@ -257,7 +289,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = reduce(DataFrame.unionByName, [*whole, *again])
     covered = F.collect_list(F.struct(F.col("start"), (F.col("start") + F.col("n") + (match - 1)).alias("end")))
     spans = found.groupBy("doc").agg(covered.alias("covered")).mapInArrow(_union, "doc long, spans array<struct<start:int,end:int>>")
-    return stored(spans, "suffix-spans").withColumnRenamed("doc", id_col)
+    out = stored(spans, "suffix-spans")
+    drop_stored(unsure, *whole)
+    return out.withColumnRenamed("doc", id_col)
 
 
 def _union(batches):
@@ -282,7 +316,7 @@ def _union(batches):
 def _cut(batches):
     for b in batches:
         kept = []
-        for text, spans in zip(b.column("_text").to_pylist(), b.column("_spans").to_pylist()):
+        for text, spans in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
             text, at, parts = text or b"", 0, []
             for s in spans or ():
                 parts.append(text[at : s["start"]])
@@ -294,15 +328,23 @@ def _cut(batches):
 
 def remove_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without text_col, with _kept: the bytes outside the spans (binary, as a cut
-    may fall inside a character), and _spans; null texts are empty."""
-    rest = [c for c in df.columns if c != text_col]
-    marked = df.join(spans.select(F.col(id_col).alias("_id"), F.col("spans")), F.col(id_col) == F.col("_id"), "left")
-    marked = marked.select(*rest, F.col("spans").alias("_all"), F.col(text_col).cast("binary").alias("_text"), F.col("spans").alias("_spans"))
-    schema = marked.drop("_text", "_spans").schema.add("_kept", "binary")
-    return marked.mapInArrow(_cut, schema).withColumnRenamed("_all", "_spans")
+    may fall inside a character), and _spans (null where nothing goes). Null texts are
+    empty; a null id has no spans; repeated rows are cut alike. Other columns pass
+    through, whatever their names, but for own columns _kept and _spans, which are
+    replaced."""
+    rest = [c for c in df.columns if c not in (text_col, "_kept", "_spans")]
+    id_, found = free_name(df, "_id"), free_name(df, "_found")
+    marked = df.join(spans.select(F.col(quoted(id_col)).alias(id_), F.col("spans").alias(found)), F.col(quoted(id_col)) == F.col(id_), "left")
+    text, cuts = free_name(df, "_text"), free_name(df, "_cuts")
+    marked = marked.select(*map(quoted, rest), F.col(found).alias("_spans"), F.col(quoted(text_col)).cast("binary").alias(text), F.col(found).alias(cuts))
+    return marked.mapInArrow(_cut, StructType([*marked.schema.fields[:-2], StructField("_kept", BinaryType())]))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed from every document and the digest of what stays, whole texts as
+    UTF-8 bytes. Null and empty texts lose nothing; ties cannot be (ids order the
+    documents); repeated rows are one document; an empty table gives no rows; other
+    columns are not read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     n_bytes = docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
     cut = remove_spans(n_bytes, repeated_spans(docs))
