@@ -1,4 +1,4 @@
-"""N-gram Jaccard join over count vectors in an R-tree of two storeys.
+"""N-gram Jaccard join over count vectors in an R-tree under hash nodes.
 
 A document is its set of word shingles. Shingles are hashed into groups, and
 the document's point is its count in each group.
@@ -11,16 +11,20 @@ leaves out its first s, those with the fewest elements, and documents still meet
 under nodes (size class, group, the group's content); no pair is lost. All nodes
 that a document shares with others under the same smallest document are one leaf.
 
-Leaves: points are packed by size and coordinates into boxes of greatest counts.
-The sum of coordinate minima bounds the overlap, first with a box, then with a
-point; every pair that survives is verified on whole shingle sets, in the smallest
-of the leaves that its sides share. A leaf of many documents is dealt to blocks and
-block pairs, so no task holds a whole group.
+R-tree: the points of a large leaf are packed by size into blocks of BLOCK, each
+with the box of its greatest counts in COARSE groups and its least and greatest size.
+The sum of the coordinate minima of two boxes bounds the overlap of any two of
+their points, so block pairs that cannot hold a link are left out. Inside a block or a
+block pair, points are packed again, FANOUT to a box of finer groups; the same bound is
+taken with a box, then with a point; every pair that survives is verified on whole
+shingle sets, in the smallest of the leaves that its sides share. No task holds more
+than two blocks.
 
 Equal sets are one class throughout; links are found between classes, all of them:
 as pairs, or counted by class with a spanning forest for the components. Where
 only components are asked for (keep_one), pairs in one component already are not
-verified.
+verified: in a large leaf all others are compared with its smallest document
+first, and only those that are not linked to it with the rest.
 """
 
 from __future__ import annotations
@@ -30,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import byte_chunks, drop_stored, mix, stored, words
+from ._common import byte_chunks, drop_stored, free_name, mix, quoted, stored, words
 from .components import connected_components
 
 #: Documents of a leaf that one block holds.
 BLOCK = 256
-#: Points under one box of a leaf.
-FANOUT = 16
+#: Points under one box of a leaf, and groups of the points that pack blocks.
+FANOUT, COARSE = 16, 16
 
 
 def shingles(off: np.ndarray, data: np.ndarray, n_words: int):
@@ -117,7 +121,7 @@ class Nodes:
         return docs[order], keys[order]
 
 
-_DDL = "id long, n long, print_a long, print_b long, keys array<long>"
+_DDL = "id long, n long, print_a long, print_b long, keys array<long>, point array<int>"
 
 
 def _points(n_words: int, percent: int):
@@ -134,9 +138,11 @@ def _points(n_words: int, percent: int):
                 np.add.at(prints[1], doc, mix(h ^ np.uint64(0x14057B7EF767814F)))
                 owner, keys = nodes.keys(doc, h, n)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=size)))).astype(np.int32)
+                point = np.bincount(doc * COARSE + (h % np.uint64(COARSE)).astype(np.int64), minlength=size * COARSE).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, size), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))],
-                    names=["id", "n", "print_a", "print_b", "keys"],
+                    [b.column(0).slice(at, size), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64))),
+                     pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * COARSE), pa.array(point))],
+                    names=["id", "n", "print_a", "print_b", "keys", "point"],
                 )
 
     return run
@@ -231,35 +237,95 @@ def _leaf(n_words: int, percent: int, want: str):
     return run
 
 
+def _packed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (leaf, id, ...) of large leaves with n, point and block: documents of a
+    leaf whose sizes are within a twentieth, BLOCK at most, about."""
+    points = classes.select(F.col("class_id").alias("id"), "n", "point")
+    sized = members.join(points, "id").withColumn("cell", F.floor(F.log("n") * 20))
+    cells = sized.groupBy("leaf", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
+    block = F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))
+    return sized.join(cells, ["leaf", "cell"]).withColumn("block", block).drop("cell", "parts")
+
+
+def _boxes(packed: DataFrame) -> DataFrame:
+    box = F.array(*[F.max(F.get("point", F.lit(k))) for k in range(COARSE)])
+    return packed.groupBy("leaf", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), box.alias("box"))
+
+
+def _block_pairs(one: DataFrame, other: DataFrame, percent: int) -> DataFrame:
+    """(leaf, i, j) of the boxes of both tables that can hold a link between them."""
+    a = one.select("leaf", *[F.col(c).alias(f"a_{c}") for c in ("block", "least", "most", "box")])
+    b = other.select("leaf", *[F.col(c).alias(f"b_{c}") for c in ("block", "least", "most", "box")])
+    near = (F.col("a_most") * 100 >= F.col("b_least") * percent) & (F.col("b_most") * 100 >= F.col("a_least") * percent)
+    common = F.aggregate(F.zip_with("a_box", "b_box", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    # 100 * overlap >= percent * union, the union being the sizes' sum without the overlap
+    enough = common * (100 + percent) >= (F.col("a_least") + F.col("b_least")) * percent
+    return a.join(b, "leaf").where(near & enough).select("leaf", F.col("a_block").alias("i"), F.col("b_block").alias("j"))
+
+
+def _dealt(packed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each member once for each pair that its block is in."""
+    sides = pairs.select("leaf", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return packed.drop("n", "point").join(sides, ["leaf", "block"])
+
+
 def _meet(df: DataFrame, id_col: str, text_col: str, n_words: int, percent: int, want: str) -> tuple[DataFrame, DataFrame]:
     """(members, found): see jaccard_classes, and _leaf for the rows of found."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
     points = stored(docs.mapInArrow(_points(n_words, percent), _DDL), "jaccard-points")
     same = ["n", "print_a", "print_b"]
-    classes = stored(points.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("class_id"), F.first("keys").alias("keys")), "jaccard-classes")
+    firsts = [F.min("id").alias("class_id"), F.first("keys").alias("keys"), F.first("point").alias("point")]
+    classes = stored(points.where("n > 0 and id is not null").groupBy(*same).agg(*firsts), "jaccard-classes")
     members = points.select("id", *same).join(classes.select(*same, "class_id"), same, "left")
     members = stored(members.select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "jaccard-members")
     drop_stored(points)
     node = classes.select(F.col("class_id").alias("id"), F.explode("keys").alias("node"))
     shared = stored(node.groupBy("node").agg(F.min("id").alias("leaf"), F.max("id").alias("last")).where("leaf < last").select("node", "leaf"), "jaccard-nodes")
     leaf = stored(node.join(shared, "node").select("leaf", "id").distinct(), "jaccard-leaves")
-    drop_stored(classes)
     drop_stored(shared)
-    blocks = leaf.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_blocks"))
-    if want == "forest":
-        early = []
-    else:
+    large = stored(leaf.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("leaf"), "jaccard-large")
+    early = []
+    rows = leaf
+    if want != "forest":
         # a document has no more leaves than nodes, so its list takes no more room than its text
         smaller = Window.partitionBy("id").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
-        leaf, early = leaf.withColumn("early", F.collect_list("leaf").over(smaller)), ["early"]
-    dealt = leaf.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    # a block meets itself where it is the only one, else each other block
-    others = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    dealt = dealt.withColumn("other", F.explode(others)).select("leaf", "id", "block", *early, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    # texts go to their leaves: they take less room than sets of hashes; the leaf rows
-    # grow with the corpus: a merge join, at any size
-    found = docs.join(dealt.hint("merge"), "id").groupBy("leaf", "i", "j").applyInArrow(_leaf(n_words, percent, want), "a long, b long, n long")
-    return members, stored(found, "jaccard-links")
+        rows, early = leaf.withColumn("early", F.collect_list("leaf").over(smaller)), ["early"]
+    one = F.lit(0).cast("long")
+
+    def verified(dealt: DataFrame) -> DataFrame:
+        # texts go to their leaves: they take less room than sets of hashes; the leaf rows
+        # grow with the corpus: a merge join, at any size
+        dealt = dealt.select("leaf", "id", "block", *early, "i", "j")
+        return docs.join(dealt.hint("merge"), "id").groupBy("leaf", "i", "j").applyInArrow(_leaf(n_words, percent, want), "a long, b long, n long")
+
+    if large.isEmpty():
+        found = stored(verified(rows.withColumns({"block": one, "i": one, "j": one})), "jaccard-links")
+        drop_stored(classes, leaf, large)
+        return members, found
+    small = rows.join(large, "leaf", "left_anti").withColumns({"block": one, "i": one, "j": one})
+    packed = stored(_packed(rows.join(large, "leaf"), classes), "jaccard-packed")
+    boxes = _boxes(packed)
+    if want != "forest":
+        pairs = _block_pairs(boxes, boxes, percent).where("i <= j")
+        found = stored(verified(small.unionByName(_dealt(packed, pairs).select(*small.columns))), "jaccard-links")
+    else:
+        # with the hub, the leaf's smallest document: block -1 of each block's pair
+        blocks = packed.select("leaf", "block").distinct()
+        hub = blocks.select("leaf", F.col("leaf").alias("id"), F.lit(-1).cast("long").alias("block"), F.col("block").alias("i"), F.lit(-1).cast("long").alias("j"))
+        own = packed.where("id <> leaf").select("leaf", "id", "block", F.col("block").alias("i"), F.lit(-1).cast("long").alias("j"))
+        first = stored(verified(small.select(*hub.columns).unionByName(own).unionByName(hub)), "jaccard-links")
+        # then what is not linked to it with all others
+        rest = packed.where("id <> leaf").join(first.select(F.col("a").alias("leaf"), F.col("b").alias("id")), ["leaf", "id"], "left_anti")
+        count = rest.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
+        rest = rest.drop("block").join(count, "leaf").withColumn("block", -2 - F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+        rest = stored(rest, "jaccard-rest")
+        pairs = _block_pairs(_boxes(rest), boxes, percent)
+        sides = [x.withColumnRenamed("block", side).join(pairs, ["leaf", side]).withColumn("block", F.col(side)) for x, side in ((rest, "i"), (packed, "j"))]
+        second = stored(verified(sides[0].select("leaf", "id", "block", "i", "j").unionByName(sides[1].select("leaf", "id", "block", "i", "j"))), "jaccard-links")
+        found = first.unionByName(second)
+        drop_stored(rest)
+    drop_stored(classes, leaf, large, packed)
+    return members, found
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -293,11 +359,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df with the smallest id of each component; rows with a null id and
-    texts without words stay."""
-    gone = jaccard_components(df, id_col, text_col, n_words, percent, count_links=False).where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return df.join(gone, id_col, "left_anti")
+    texts without words stay, as do repeated rows of an id that stays. Columns of any
+    name pass through; an empty table gives an empty one."""
+    gone = jaccard_components(df, id_col, text_col, n_words, percent, count_links=False).where(F.col(quoted(id_col)) != F.col("component_id"))
+    gone_id = free_name(df, "_gone")
+    gone = gone.select(F.col(quoted(id_col)).alias(gone_id)).distinct()
+    return df.join(gone, F.col(quoted(id_col)) == F.col(gone_id), "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shingles, links and component of every document, whole texts, three words and a
+    similarity of 0.9. Nulls, short texts, ties, repeated rows and empty tables as in
+    jaccard_classes(); other columns are not read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return jaccard_components(docs, n_words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(docs, n_words=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")
