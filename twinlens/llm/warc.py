@@ -1,20 +1,23 @@
 """Legacy archive converter: ARC files to WARC files.
 
-ARC files are read whole, a file a task; each record's header line is parsed by
-the version that the file's first record declares, and its length field says how
-many bytes belong to it. The converter synthesises what WARC asks for: record
-ids from the record's place, timestamps from the 14-digit dates, SHA-256 payload
-digests, and types: the smallest page of each payload of 100 bytes or more is
-the response and its copies are revisits that refer to it.
-
-Archives are files of gzip members, one a record, in the shared folder. A task
-writes one file, named after its partition and moved into place when it is
-whole, so a repeated task replaces its own file and leaves no other.
+A task streams through an ARC file, compressed (a gzip member a record) or plain;
+each record's header line is parsed by the version that the file's first record
+declares, and its length field says how many bytes belong to it. The converter
+synthesises what WARC asks for: record ids from the record's place, timestamps from the
+14-digit dates, SHA-256 payload digests, and types: the smallest page of each payload of
+100 bytes or more is the response and its copies are revisits that refer to it.
+
+Only an index of the records (digest, length, place) is shuffled to find the copies;
+bodies never are: what a file's revisits refer to is brought to the task that converts
+the file. A task reads and writes its archives by streams in the shared folder, a record
+at a time, begins a new file after ROLL_BYTES, and names its files after its partition.
+They are moved into place when they are whole, so a repeated task replaces its own files.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -24,8 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import make_dir, new_path
+from ._common import drop_path, drop_stored, make_dir, new_path, stored
 
+#: Bytes of an archive after which its task begins another.
+ROLL_BYTES = 256 << 20
+_STEP = 1 << 15
 REVISIT_BYTES = 100
 #: The fields of a header line by ARC version.
 ARC_FIELDS = {
@@ -42,42 +48,74 @@ def _deflated(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(data: bytes):
-    """(start, end, content) of each gzip member."""
-    view, at, step = memoryview(data), 0, 1 << 15
-    while at < len(view):
-        z, parts, to = zlib.decompressobj(31), [], at
+def _stream(path: str):
+    """A file of the shared folder, opened for reading."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return io.BufferedReader(system.open_input_stream(path, compression=None), 1 << 20)
+
+
+def members(source):
+    """(start, raw, content) of each gzip member of a stream or of bytes."""
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    at, rest = 0, b""
+    while rest := rest or stream.read(_STEP):
+        z, raw, content = zlib.decompressobj(31), [], []
         while not z.eof:
-            if to >= len(view):
+            if not (rest := rest or stream.read(_STEP)):
                 raise ValueError(f"gzip member at {at} is cut off")
-            parts.append(z.decompress(view[to : to + step]))
-            to = min(to + step, len(view))
-        end = to - len(z.unused_data)
-        yield at, end, b"".join(parts)
-        at = end
+            content.append(z.decompress(rest))
+            raw.append(rest[: len(rest) - len(z.unused_data)])
+            rest = z.unused_data
+        raw = b"".join(raw)
+        yield at, raw, b"".join(content)
+        at += len(raw)
+
+
+def _plain_members(stream):
+    """The same for an uncompressed ARC file, whose records end where their length says."""
+    at = 0
+    while line := stream.readline():
+        size = re.search(rb" (\d+)\r?\n$", line)
+        if not size:
+            raise ValueError(f"header line at {at} ends without a length")
+        raw = line + stream.read(int(size[1])) + stream.read(1)
+        yield at, raw, raw
+        at += len(raw)
 
 
 class _File:
-    """The archive of one task; a task without records leaves none."""
+    """The archives of one task, one after another; a task without records leaves none."""
 
     def __init__(self, folder: str, prefix: str, suffix: str, head):
         from pyarrow import fs
 
         self.fs, self.folder = fs.FileSystem.from_uri(folder)
-        self.name, self.head, self.out = f"{prefix}{TaskContext.get().partitionId():06d}{suffix}", head, None
+        self.prefix, self.suffix, self.head, self.out, self.files = f"{prefix}{TaskContext.get().partitionId():06d}", suffix, head, None, 0
 
     def add(self, record: bytes) -> None:
         if self.out is None:
+            self.name = f"{self.prefix}-{self.files:04d}{self.suffix}"
             self.fs.create_dir(self.folder)
             self.temp = f"{self.folder}/.{self.name}.{uuid.uuid4().hex}"
-            self.out = self.fs.open_output_stream(self.temp)
-            self.out.write(_deflated(self.head(self.name)))
-        self.out.write(_deflated(record))
+            self.out = self.fs.open_output_stream(self.temp, compression=None)
+            self.files, self.size = self.files + 1, 0
+            self._write(self.head(self.name))
+        self._write(record)
+        if self.size >= ROLL_BYTES:
+            self.close()
+
+    def _write(self, record: bytes) -> None:
+        data = _deflated(record)
+        self.out.write(data)
+        self.size += len(data)
 
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
             self.fs.move(self.temp, f"{self.folder}/{self.name}")
+            self.out = None
 
 
 def _one_line(x: str | None) -> str:
@@ -112,13 +150,14 @@ def write_arc(pages: DataFrame, folder: str, version: int, date: str = "20200101
     pages.select("page_id", "url", F.col("html").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
-def parse_arc(data: bytes):
-    """(start, end, header fields, body) of an ARC file's records; the first, its
-    version block, says how to read the others' header lines."""
+def parse_arc(source):
+    """(start, raw, header fields, body) of the records of an ARC file, a stream or bytes;
+    the first, its version block, says how to read the others' header lines."""
+    stream = io.BufferedReader(io.BytesIO(source)) if isinstance(source, bytes) else source
     fields = None
-    for at, end, member in members(data):
+    for at, raw, member in members(stream) if stream.peek(2)[:2] == b"\x1f\x8b" else _plain_members(stream):
         line, _, rest = member.partition(b"\n")
-        values = line.decode("utf-8", "replace").split(" ")
+        values = line.decode("utf-8", "replace").rstrip("\r").split(" ")
         if fields is None:
             if not values[0].startswith("filedesc:"):
                 raise ValueError("an ARC file starts with its version block")
@@ -130,11 +169,12 @@ def parse_arc(data: bytes):
         n = int(v["length"])
         if len(rest) < n:
             raise ValueError(f"record at {at} declares {n} bytes and has {len(rest)}")
-        yield at, end, v, rest[:n]
+        yield at, raw, v, rest[:n]
 
 
-def _files_in(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "content")
+def _files_in(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(path) of a folder's files; their contents are not read here."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
 
 
 def _page(block: bytes) -> tuple[int | None, bytes, bytes]:
@@ -144,8 +184,8 @@ def _page(block: bytes) -> tuple[int | None, bytes, bytes]:
 
 
 def read_arc(spark: SparkSession, folder: str, members: bool = True) -> DataFrame:
-    """The records of all ARC files in a folder: page_id, url, date, n (bytes of the
-    payload), digest, file, at, member (the record as it is compressed in the
+    """The records of all ARC files (.arc, .arc.gz) in a folder: page_id, url, date, n
+    (bytes of the payload), digest, file, at, member (the record as it is stored in the
     file, null where not asked for) and length (bytes of its body)."""
 
     def batch(rows):
@@ -153,24 +193,26 @@ def read_arc(spark: SparkSession, folder: str, members: bool = True) -> DataFram
 
     def read(batches):
         for b in batches:
-            for path, data in zip(*(c.to_pylist() for c in b.columns)):
+            for path in b.column(0).to_pylist():
                 name, rows, size = path.rsplit("/", 1)[-1], [], 0
-                for at, end, v, body in parse_arc(data):
-                    page, _, payload = _page(body)
-                    rows.append((page, v["url"], v["date"], len(payload), hashlib.sha256(payload).hexdigest(), name, at, data[at:end] if members else None, len(body)))
-                    size += end - at
-                    if size > 4 << 20:
-                        yield batch(rows)
-                        rows, size = [], 0
+                with _stream(path) as f:
+                    for at, raw, v, body in parse_arc(f):
+                        page, _, payload = _page(body)
+                        rows.append((page, v["url"], v["date"], len(payload), hashlib.sha256(payload).hexdigest(), name, at, raw if members else None, len(body)))
+                        size += len(raw) if members else 256
+                        if size > 4 << 20:
+                            yield batch(rows)
+                            rows, size = [], 0
                 if rows:
                     yield batch(rows)
 
-    return _files_in(spark, folder, ".arc.gz").mapInArrow(read, _PAGES_DDL)
+    return _files_in(spark, folder, "*.{arc,arc.gz}").mapInArrow(read, _PAGES_DDL)
 
 
 def arc_body(member: bytes, length: int) -> bytes:
-    """The body of a compressed record of read_arc()."""
-    return zlib.decompress(member, 31).partition(b"\n")[2][:length]
+    """The body of a stored record of read_arc()."""
+    record = zlib.decompress(member, 31) if member[:2] == b"\x1f\x8b" else member
+    return record.partition(b"\n")[2][:length]
 
 
 def record_id(file: str, at: int) -> str:
@@ -190,16 +232,18 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str) -> None:
     are revisits without payload. Smaller payloads, empty ones included, are
     always responses.
     """
+    index = stored(read_arc(spark, arc_folder, members=False).where(F.col("n") >= REVISIT_BYTES).select("page_id", "digest", "file", "at"), "arc-index")
     order = [F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), F.col("file").alias("f"), F.col("at").alias("a")]
-    firsts = (
-        read_arc(spark, arc_folder, members=False).where(F.col("n") >= REVISIT_BYTES)
-        .groupBy(F.col("digest").alias("d")).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("copies"))
-        .where("copies > 1").select("d", F.col("first.f").alias("first_file"), F.col("first.a").alias("first_at"))
-    )
-    rows = read_arc(spark, arc_folder)
-    rows = rows.join(firsts, (rows["digest"] == firsts["d"]) & (rows["n"] >= REVISIT_BYTES), "left")
-    again = F.col("first_file").isNotNull() & ((F.col("first_file") != F.col("file")) | (F.col("first_at") != F.col("at")))
-    rows = rows.select("url", "date", "member", "length", "digest", "file", "at", F.when(again, F.col("first_file")).alias("first_file"), F.when(again, F.col("first_at")).alias("first_at"))
+    firsts = index.groupBy(F.col("digest").alias("d")).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("copies"))
+    # stored, so that a payload of very many pages is a skewed join, which Spark splits
+    firsts = stored(firsts.where("copies > 1").select("d", F.col("first.f").alias("first_file"), F.col("first.a").alias("first_at")), "arc-firsts")
+    again = index.join(firsts, index["digest"] == firsts["d"]).where("first_file <> file or first_at <> at")
+    # a file's marks are no more than its records
+    marks = again.groupBy("file").agg(F.collect_list(F.struct("at", "first_file", "first_at")).alias("marks"))
+    files = _files_in(spark, arc_folder, "*.{arc,arc.gz}").withColumn("name", F.element_at(F.split("path", "/"), -1))
+    n = files.count()
+    work = files.join(marks, files["name"] == marks["file"], "left").select("path", "name", "marks")
+    work = work.repartition(max(n, 1), "path").sortWithinPartitions("path")
 
     def head(name: str) -> bytes:
         return _warc({"WARC-Type": "warcinfo", "WARC-Filename": name, "WARC-Record-ID": record_id(name, 0), "WARC-Date": _stamp(""), "Content-Type": "application/warc-fields"}, b"software: twinlens\r\n")
@@ -207,18 +251,23 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str) -> None:
     def write(batches):
         out, n = _File(warc_folder, "", ".warc.gz", head), 0
         for b in batches:
-            for url, date, member, length, digest, file, at, first_file, first_at in zip(*(c.to_pylist() for c in b.columns)):
-                v = {"WARC-Type": "response" if first_file is None else "revisit", "WARC-Target-URI": url, "WARC-Date": _stamp(date), "WARC-Record-ID": record_id(file, at), "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http; msgtype=response"}
-                if first_file is not None:
-                    v |= {"WARC-Refers-To": record_id(first_file, first_at), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-                body = arc_body(member, length)
-                out.add(_warc(v, body if first_file is None else _page(body)[1]))
-                n += 1
+            for path, name, marks in zip(*(c.to_pylist() for c in b.columns)):
+                first = {m["at"]: (m["first_file"], m["first_at"]) for m in marks or ()}
+                with _stream(path) as f:
+                    for at, _, arc, body in parse_arc(f):
+                        _, http, payload = _page(body)
+                        of = first.get(at)
+                        v = {"WARC-Type": "revisit" if of else "response", "WARC-Target-URI": arc["url"], "WARC-Date": _stamp(arc["date"]), "WARC-Record-ID": record_id(name, at), "WARC-Payload-Digest": f"sha256:{hashlib.sha256(payload).hexdigest()}", "Content-Type": "application/http; msgtype=response"}
+                        if of:
+                            v |= {"WARC-Refers-To": record_id(*of), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+                        out.add(_warc(v, http if of else body))
+                        n += 1
         out.close()
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     make_dir(spark, warc_folder)
-    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    work.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    drop_stored(index, firsts)
 
 
 def _warc(headers: dict[str, str], block: bytes) -> bytes:
@@ -226,10 +275,10 @@ def _warc(headers: dict[str, str], block: bytes) -> bytes:
     return head.encode() + block + b"\r\n\r\n"
 
 
-def parse_warc(data: bytes):
-    """(headers, block) of each record of a WARC file."""
-    for at, _, member in members(data):
-        head, gap, rest = member.partition(b"\r\n\r\n")
+def parse_warc(source):
+    """(headers, block) of each record of a WARC file, a stream or bytes."""
+    for at, _, member in members(source):
+        head, _, rest = member.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at {at}")
@@ -247,34 +296,48 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """record_id, page_id, url, type, payload_bytes, digest and refers of each
     response and revisit; digests of payloads are taken anew and must agree."""
 
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _INDEX.types)], schema=_INDEX)
+
     def read(batches):
         for b in batches:
-            for data in b.column(1).to_pylist():
+            for path in b.column(0).to_pylist():
                 rows = []
-                for v, block in parse_warc(data):
-                    if v["WARC-Type"] == "warcinfo":
-                        continue
-                    page, _, payload = _page(block)
-                    digest, response = v["WARC-Payload-Digest"].removeprefix("sha256:"), v["WARC-Type"] == "response"
-                    if response and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"{v['WARC-Record-ID']} has another payload than its digest says")
-                    rows.append((v["WARC-Record-ID"], page, v["WARC-Target-URI"], v["WARC-Type"], len(payload) if response else None, digest, v.get("WARC-Refers-To")))
+                with _stream(path) as f:
+                    for v, block in parse_warc(f):
+                        if v["WARC-Type"] == "warcinfo":
+                            continue
+                        page, _, payload = _page(block)
+                        digest, response = v["WARC-Payload-Digest"].removeprefix("sha256:"), v["WARC-Type"] == "response"
+                        if response and hashlib.sha256(payload).hexdigest() != digest:
+                            raise ValueError(f"{v['WARC-Record-ID']} has another payload than its digest says")
+                        rows.append((v["WARC-Record-ID"], page, v["WARC-Target-URI"], v["WARC-Type"], len(payload) if response else None, digest, v.get("WARC-Refers-To")))
+                        if len(rows) >= 10_000:
+                            yield batch(rows)
+                            rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _INDEX.types)], schema=_INDEX)
+                    yield batch(rows)
 
-    return _files_in(spark, folder, ".warc.gz").mapInArrow(read, "record_id string, page_id long, url string, type string, payload_bytes long, digest string, refers string")
+    return _files_in(spark, folder, "*.warc.gz").mapInArrow(read, "record_id string, page_id long, url string, type string, payload_bytes long, digest string, refers string")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as ARC files, converted to WARC files and read back. Null html is
+    an empty payload; repeated rows have a record each, of which one is the response;
+    without pages there are no rows; other columns are not read."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     for version in ARC_FIELDS:  # the odd pages as version 2
         write_arc(pages.where((F.coalesce(F.pmod("page_id", F.lit(2)), F.lit(0)) + 1) == version), arc, version)
     convert(spark, arc, warc)
-    records = read_warc(spark, warc)
+    drop_path(spark, arc)
+    records = stored(read_warc(spark, warc), "warc-index")
+    # a response refers to itself here, so that no key is null and shared by most rows
+    response = F.coalesce("refers", "record_id")
     seen = records.where("type = 'response'").select(F.col("record_id").alias("r"), F.col("page_id").alias("to_page"), F.col("payload_bytes").alias("n"))
-    out = records.join(seen, records["refers"] == seen["r"], "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("to_page").alias("refers_to"))
+    out = records.withColumn("of", response).join(seen, F.col("of") == F.col("r"), "left")
+    to_page = F.when(F.col("type") == "revisit", F.col("to_page"))
+    return out.select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), to_page.alias("refers_to"))
 
 
 OP10_SQL = r"""
