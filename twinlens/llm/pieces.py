@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ._common import _BASE, _UNBASE, byte_chunks, mix, powers, span_hash
+from ._common import _BASE, _UNBASE, byte_chunks, free_name, mix, powers, quoted, span_hash
 
 SPACE = 0x2581
 _NORMAL, _BYTE = 1, 6
@@ -37,6 +37,8 @@ UNIGRAM, BPE = 1, 2
 REMEMBERED, PAIRS = 1 << 19, 1 << 20
 PAD = "\U0010ffff"  # in no piece
 _SIEVE = 1 << 20
+#: Bytes of text encoded at once.
+CHUNK = 1 << 20
 
 
 def default_model() -> str:
@@ -257,9 +259,9 @@ class PieceModel:
         path = np.stack(steps[::-1], 1)  # right-aligned
         return self.ids[path[path >= 0]], (path >= 0).sum(1)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts on end, ids a text)."""
-        lead = "▁" if self.dummy_prefix else ""
+    def encode(self, texts: list[str], starts: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, ids a text); not starts: the texts go on from others."""
+        lead = "▁" if self.dummy_prefix and starts else ""
         texts = [lead + t.replace(" ", "▁") if t else "" for t in texts]
         size = np.array([len(t) for t in texts], np.int64)
         cps = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
@@ -322,10 +324,30 @@ class PieceModel:
         return [raw[a + skip * (b > a) : b] for a, b in zip(ends, ends[1:])]
 
 
-def _encoded(b: pa.Array, model: PieceModel, limit: int = 1 << 20):
-    """(first row, texts, ids, ids a text) by chunks of whole texts."""
+def _parts(raw: bytes, limit: int):
+    """A long text in parts of `limit` bytes or some more, cut where words end for good:
+    before a space after anything but a space (U+2581 is one too)."""
+    at = 0
+    while len(raw) - at > 2 * limit:
+        cut = raw.find(b" ", at + limit)
+        while cut > 0 and (raw[cut - 1] == 32 or raw[cut - 3 : cut] == b"\xe2\x96\x81"):
+            cut = raw.find(b" ", cut + 1)
+        if cut < 0:
+            break
+        yield raw[at:cut].decode()
+        at = cut
+    yield raw[at:].decode()
+
+
+def _encoded(b: pa.Array, model: PieceModel, limit: int = CHUNK):
+    """(first row, texts, ids, ids a text) by chunks of whole texts; a text above two
+    chunks is encoded in parts, so memory does not follow its length."""
     for at, off, data in byte_chunks(b, limit):
         raw = data.tobytes()
+        if len(off) == 2 and len(raw) > 2 * limit:
+            ids = np.concatenate([model.encode([x], starts=not i)[0] for i, x in enumerate(_parts(raw, limit))])
+            yield at, [raw.decode()], ids, np.array([len(ids)])
+            continue
         texts = [raw[x:y].decode() for x, y in zip(off, off[1:])]
         yield at, texts, *model.encode(texts)
 
@@ -335,10 +357,11 @@ def encode(df: DataFrame, model_path: str | None = None, text_col: str = "text",
 
     A null or empty text has no ids. The model file is read on the driver; its
     pieces are broadcast, which the vocabulary bounds. U+2581 in a text is a space,
-    as in the file format. Repeated rows and other columns pass through.
+    as in the file format. Repeated rows and other columns pass through, whatever their
+    names, but for an own column ids, which is replaced; an empty table gives an empty one.
     """
     model = df.sparkSession.sparkContext.broadcast(PieceModel.load(model_path or default_model(), kind))
-    rest = [c for c in df.columns if c != text_col]
+    rest = [c for c in df.columns if c not in (text_col, "ids")]
 
     def run(batches):
         for b in batches:
@@ -347,14 +370,17 @@ def encode(df: DataFrame, model_path: str | None = None, text_col: str = "text",
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(n)) for i in range(len(rest))), lists], names=[*b.schema.names[:-1], "ids"])
 
-    rows = df.select(*rest, F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, rows.drop("_text").schema.add("ids", ArrayType(IntegerType())))
+    own = df.select(*map(quoted, rest))
+    rows = df.select(*map(quoted, rest), F.col(quoted(text_col)).alias(free_name(own, "_text")))
+    return rows.mapInArrow(run, StructType([*own.schema, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode(df: DataFrame, model_path: str | None = None) -> DataFrame:
-    """df with ids replaced by text; byte pieces that are no UTF-8 become U+FFFD."""
+    """df with ids replaced by text; byte pieces that are no UTF-8 become U+FFFD. Null or
+    empty ids give an empty text; an own column text is replaced, other columns and
+    repeated rows pass through; an empty table gives an empty one."""
     model = df.sparkSession.sparkContext.broadcast(PieceModel.load(model_path or default_model()))
-    rest = [c for c in df.columns if c != "ids"]
+    rest = [c for c in df.columns if c not in ("ids", "text")]
 
     def run(batches):
         for b in batches:
@@ -363,8 +389,8 @@ def decode(df: DataFrame, model_path: str | None = None) -> DataFrame:
             text = [t.decode("utf-8", "replace") for t in model.value.decode(ids, n)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), pa.array(text, pa.string())], names=[*b.schema.names[:-1], "text"])
 
-    rows = df.select(*rest, "ids")
-    return rows.mapInArrow(run, rows.drop("ids").schema.add("text", "string"))
+    rows = df.select(*map(quoted, rest), "ids")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("text", StringType())]))
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())])
@@ -372,7 +398,9 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_sha
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded: pieces, a digest of the ids (32-bit,
-    little-endian) and whether decoding gives the text back."""
+    little-endian) and whether decoding gives the text back. Null and empty texts have no
+    pieces; repeated rows are coded alike; an empty table gives no rows; other columns are
+    not read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = spark.sparkContext.broadcast(PieceModel.load(default_model()))
 
