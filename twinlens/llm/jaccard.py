@@ -24,7 +24,7 @@ Equal sets are one class throughout; links are found between classes, all of the
 as pairs, or counted by class with a spanning forest for the components. Where
 only components are asked for (keep_one), pairs in one component already are not
 verified: in a large leaf all others are compared with its smallest document
-first, and only those that are not linked to it with the rest.
+first, and only those that are not in its component then with the rest.
 """
 
 from __future__ import annotations
@@ -238,13 +238,16 @@ def _leaf(n_words: int, percent: int, want: str):
 
 
 def _packed(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members (leaf, id, ...) of large leaves with n, point and block: documents of a
-    leaf whose sizes are within a twentieth, BLOCK at most, about."""
+    """Members (leaf, id, ...) of large leaves with n, point and block: in order of size,
+    about BLOCK documents a block. Sizes are counted in cells that grow by a fiftieth; small
+    cells share a block, those of more than BLOCK documents are split by hash."""
     points = classes.select(F.col("class_id").alias("id"), "n", "point")
-    sized = members.join(points, "id").withColumn("cell", F.floor(F.log("n") * 20))
-    cells = sized.groupBy("leaf", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
-    block = F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))
-    return sized.join(cells, ["leaf", "cell"]).withColumn("block", block).drop("cell", "parts")
+    sized = members.join(points, "id").withColumn("cell", F.floor(F.log("n") * 50))
+    upto = Window.partitionBy("leaf").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = sized.groupBy("leaf", "cell").agg(F.count("*").alias("here")).withColumn("before", F.coalesce(F.sum("here").over(upto), F.lit(0)))
+    own = F.when(F.col("here") > BLOCK, 1 + F.pmod(F.xxhash64("id"), F.ceil(F.col("here") / BLOCK))).otherwise(F.lit(0))
+    block = F.floor(F.col("before") / BLOCK) * (1 << 32) + own
+    return sized.join(cells, ["leaf", "cell"]).withColumn("block", block).drop("cell", "here", "before")
 
 
 def _boxes(packed: DataFrame) -> DataFrame:
@@ -314,8 +317,11 @@ def _meet(df: DataFrame, id_col: str, text_col: str, n_words: int, percent: int,
         hub = blocks.select("leaf", F.col("leaf").alias("id"), F.lit(-1).cast("long").alias("block"), F.col("block").alias("i"), F.lit(-1).cast("long").alias("j"))
         own = packed.where("id <> leaf").select("leaf", "id", "block", F.col("block").alias("i"), F.lit(-1).cast("long").alias("j"))
         first = stored(verified(small.select(*hub.columns).unionByName(own).unionByName(hub)), "jaccard-links")
-        # then what is not linked to it with all others
-        rest = packed.where("id <> leaf").join(first.select(F.col("a").alias("leaf"), F.col("b").alias("id")), ["leaf", "id"], "left_anti")
+        # then what these links, of all leaves, leave in another component, with all others
+        labels = connected_components(first.select("a", "b"))
+        at = packed.join(labels, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
+        hubs = labels.select(F.col("id").alias("leaf"), F.col("component").alias("of_hub"))
+        rest = at.join(hubs, "leaf", "left").where(F.col("own") != F.coalesce("of_hub", "leaf")).drop("own", "of_hub")
         count = rest.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
         rest = rest.drop("block").join(count, "leaf").withColumn("block", -2 - F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
         rest = stored(rest, "jaccard-rest")
