@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from twinlens.functions import contact, maps, similarity, text, tokens
-from twinlens.operators import learning, stats, vectors
-from twinlens.plans import catalog, token_queries, vector_queries  # noqa: F401
+from twinlens.functions import contact, maps, parsers, similarity, text, tokens
+from twinlens.operators import hashes, learning, stats, vectors, weights
+from twinlens.plans import catalog, families, measures, token_queries, vector_queries  # noqa: F401
 from twinlens.sources import tables
 from twinlens.streaming import items
 
@@ -22,7 +22,7 @@ def test_text_cases(spark):
     assert one(spark, text.clean_text(F.col("s")), s="Ёлка, 2шт!") == "елка 2шт"
     assert one(spark, text.char_ngrams(F.col("s")), s="ab cd") == ["abc", "bcd", "abcd"]
     assert one(spark, text.char_ngrams(F.col("s")), s="ab") == []
-    assert one(spark, text.token_ngrams(F.col("s"), 1, 4), s=["1", "2"]) == ["1", "2", "12"]
+    assert one(spark, text.token_ngrams(F.col("s"), 1, 4), s=["1", "2"]) == ["1", "2", "1", "2", "12"]
     assert one(spark, text.transliterate(F.col("s")), s="щ1") == "sh1"
 
 
@@ -54,7 +54,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "part", "customer", "orders", "lineitem", "embeddings", "pages", "events", "conversations"):
+    for t in ("documents", "part", "customer", "orders", "lineitem", "embeddings", "pages", "events", "conversations", "labels", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = catalog.QUERIES[name](spark, SF)
     columns = ", ".join(f'"{c}"' for c in got.columns)
@@ -119,3 +119,77 @@ def test_tables(spark, tmp_path):
     dim = spark.createDataFrame([(2, "x")], "id long, name string")
     assert tables.with_dimension(spark.createDataFrame([(1,), (2,)], "id long"), dim, "id").orderBy("id").collect() == [(1, "None"), (2, "x")]
     assert tables.not_yet_done(spark.createDataFrame([(1,), (2,)], "id long"), dim, "id").collect() == [(1,)]
+
+
+def test_dots_of_abbreviations_and_shortened_words(spark):
+    assert one(spark, tokens.sentences(F.col("s")), s="т.е. да") == ["те да"]
+    assert one(spark, tokens.sentences(F.col("s")), s="5 кг. муки") == ["5 кг муки"]
+    assert one(spark, tokens.sentence_tokens(F.col("s")), s="3.5 л") == ["3", "5", "л"]
+    assert one(spark, tokens.number_forms(F.col("s")), s="5 кг.мл. к.г") == "5 кг мл  к.г"
+
+
+def test_words_of_both_alphabets(spark):
+    words = ["iрhone", "abc", "мoсква", "ор", "xя", "жw"]
+    assert one(spark, text.repaired(F.col("w")), w=words) == ["iphone", "abc", "москва", "ор", "хя", "жw"]
+    assert one(spark, tokens.mixed_count(F.col("w")), w=words) == 4
+    assert one(spark, text.transliterate(F.col("s")), s="жйыющъ") == "giiysh"
+
+
+def test_differences_of_the_left_side(spark):
+    pair = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
+    row = spark.range(1).select(maps.difference_of_left(pair("x", 1.0, "y", 2.0), pair("y", 5.0, "z", 3.0)).alias("m")).first()
+    assert row["m"] == {"x": 1.0, "y": 3.0}
+
+
+def test_documents_without_terms_count(spark):
+    tf = spark.createDataFrame([(1, "a", 2.0), (2, "a", 1.0), (2, "b", 1.0)], "id int, term string, n double")
+    items = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id int")
+    got = {(r["id"], r["term"]): r["weight"] for r in weights.tfidf(tf, "id", items=items).collect()}
+    assert got[2, "a"] == pytest.approx(math.log(5 / 3) + 1)
+    got = {(r["id"], r["term"]): r["weight"] for r in weights.bm25(tf, "id", items=items).collect()}
+    assert got[2, "b"] == pytest.approx(3 / (1 + 2 * (0.25 + 0.75 * 2 / 1)) * math.log((4 - 1 + 0.5) / 1.5))
+
+
+def test_hex_hashes_and_parsers(spark):
+    assert one(spark, hashes.hex_hamming(F.col("a"), F.col("b")), a="ff" + "0" * 20 + "f", b="0f" + "0" * 21) == 8
+    assert one(spark, parsers.report(F.col("s"), "r_"), s='"a"=>"1", x, "b"=>""') == {"r_a": "1", "r_b": "NA"}
+    assert one(spark, parsers.file_size(F.col("s")), s="2MB") == 2097152.0
+    assert one(spark, families.leading_number(F.col("s")), s="125009-1") == 125009
+
+
+def test_resources_and_sinks(spark, tmp_path):
+    (tmp_path / "fix.txt").write_text("iphone=айфон, ,ифон\nplain line\n")
+    fix = tables.read_corrections(spark, str(tmp_path / "fix.txt"))
+    assert sorted(map(tuple, fix.collect())) == [("айфон", "iphone"), ("ифон", "iphone")]
+    words = spark.createDataFrame([(1, "айфон"), (2, "x")], "id int, term string")
+    assert sorted(r["term"] for r in tables.corrected_words(words, fix).collect()) == ["iphone", "x"]
+    (tmp_path / "ends.txt").write_text("ru\n\nde\nru\n")
+    assert tables.read_lines(spark, str(tmp_path / "ends.txt")) == ["de", "ru"]
+    df = spark.createDataFrame([(1, "a\tb", 2.5)], "id long, s string, x double")
+    tables.write_keyed_json(df, str(tmp_path / "keyed"), "id")
+    (tmp_path / "keyed" / "more.txt").write_text("2\tbroken{\n")
+    back = tables.read_keyed_json(spark, str(tmp_path / "keyed"), spark.createDataFrame([], "s string, x double").schema).cache()
+    good, broken = tables.split_rejected(back)
+    assert [tuple(r) for r in good.collect()] == [("1", "a\tb", 2.5)] and [r["line"] for r in broken.collect()] == ["broken{"]
+    for k in (1, 2):
+        tables.write_csv(spark.createDataFrame([(k, 0.5)], "id int, score_x double"), str(tmp_path / f"model{k}"), compressed=k == 2)
+    parts = tables.read_named_parts(spark, str(tmp_path / "model*"))
+    assert parts.count() == 2 and parts.where(F.col("file").endswith(".csv.gz")).count() == 1 and tables.columns_with(parts, "score") == ["score_x"]
+
+
+def test_random_subspaces_are_seeded():
+    import random
+
+    groups = {"a": ["a1", "a2"], "b": ["b1"], "c": ["c1"]}
+    draw = lambda: learning.draw_columns(groups, random.Random(3), 2, ("id",), 0.9)
+    assert draw() == draw() and draw()[0] == "id"
+    assert 0.9 <= learning.jitter(1.0, random.Random(1)) <= 1.1
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("ts", "event_type")
+    events.write.parquet(str(tmp_path / "in"))
+    counted = items.windowed_counts(items.read_new(spark, str(tmp_path / "in"), events.schema), "ts", ["event_type"], "1 day", "1 day")
+    counted.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    want = {(r["d"], r["event_type"]): r["n"] for r in events.groupBy(F.date_trunc("day", "ts").alias("d"), "event_type").agg(F.count("*").alias("n")).collect()}
+    assert {(r["start"], r["event_type"]): r["n"] for r in spark.table("counted").collect()} == want

@@ -75,3 +75,8 @@ def contacts(*texts: Column, tlds: tuple[str, ...] = TLDS) -> dict[str, Column]:
     """All five, by name, of the texts in a row."""
     t = prepared(*texts)
     return {"links": links(t, tlds), "emails": emails(t, tlds), "phones": phones(t), "hashtags": hashtags(t), "placeholders": placeholders(t)}
+
+
+def with_any(items, names: list[str]):
+    """The rows of items that have any of the listed arrays not empty."""
+    return items.where(F.greatest(*[F.size(n) for n in names]) > 0)

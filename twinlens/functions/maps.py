@@ -38,6 +38,11 @@ def difference(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda k, x, y: F.abs(_zero(x) - _zero(y)))
 
 
+def difference_of_left(a: Column, b: Column) -> Column:
+    """Absolute differences over the keys of the left side."""
+    return F.map_from_entries(F.transform(F.map_entries(a), lambda e: F.struct(e["key"].alias("key"), F.abs(e["value"] - _zero(F.try_element_at(b, e["key"]))).alias("value"))))
+
+
 def total(m: Column) -> Column:
     return F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v)
 

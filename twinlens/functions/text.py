@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Cyrillic letters and what they are written as; ъ and ь are dropped.
-_CYRILLIC = "абвгдеёжзийклмнопрстуфхцыэ"
-_LATIN = "abvgdeejziyklmnoprstufhcye"
-_DIGRAPHS = {"ч": "ch", "ш": "sh", "щ": "sh", "ю": "yu", "я": "ya", "ъ": "", "ь": ""}
+# Cyrillic letters and what they are written as; None is dropped.
+LATIN_OF = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "g", "з": "z", "и": "i", "й": "i",
+    "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f",
+    "х": "h", "ц": "c", "ч": "ch", "ш": "sh", "щ": "sh", "ъ": None, "ы": "i", "ь": None, "э": "e", "ю": "y", "я": "ya",
+}
+
+
+def bind(value: Column, body) -> Column:
+    """body(value) with value computed once a row: the optimiser would copy a column's
+    expression into each of its uses."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def clean_text(c: Column) -> Column:
@@ -36,26 +44,50 @@ def char_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     s = F.replace(c, F.lit(" "), F.lit(""))
     none = F.array().cast("array<string>")
 
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.char_length(s) - n + 1, F.lit(1)))
-        return F.when(F.char_length(s) >= n, F.transform(starts, lambda i: F.substring(s, i, F.lit(n)))).otherwise(none)
+    def of(chars: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1)))
+        return F.when(F.size(chars) >= n, F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))).otherwise(none)
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    # from the characters: taking a substring walks through the text up to it each time
+    return bind(F.split(s, ""), lambda chars: F.concat(*[of(chars, n) for n in range(low, high + 1)]))
 
 
 def token_ngrams(words: Column, low: int, high: int) -> Column:
-    """Runs of low to high words written together, repeats kept."""
+    """Runs of low to high words written together, repeats kept; from 1 on, single words
+    count twice."""
     none = F.array().cast("array<string>")
 
     def of(n: int) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
         return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), ""))).otherwise(none)
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    return F.concat(*([words] if low == 1 else []), *[of(n) for n in range(low, high + 1)])
 
 
 def transliterate(c: Column) -> Column:
-    out = F.translate(c, _CYRILLIC, _LATIN)
-    for letter, written in _DIGRAPHS.items():
-        out = F.replace(out, F.lit(letter), F.lit(written))
+    """Cyrillic letters as Latin ones, lower case."""
+    single = {k: v for k, v in LATIN_OF.items() if v and len(v) == 1}
+    out = F.translate(c, "".join(single), "".join(single.values()))
+    for letter, written in LATIN_OF.items():
+        if letter not in single:
+            out = F.replace(out, F.lit(letter), F.lit(written or ""))
     return out
+
+
+def repaired(words: Column) -> Column:
+    """Words of both alphabets in the one that most of their letters have. As many of
+    both: to the one whose look-alikes alone occur; else unchanged."""
+    cyrillic, latin = "".join(LOOK_ALIKES), "".join(LOOK_ALIKES.values())
+
+    def one(w: Column) -> Column:
+        en, ru = (F.char_length(F.regexp_replace(w, f"[^{x}]", "")) for x in ("a-z", "а-я"))
+        to_en, to_ru = F.translate(w, cyrillic, latin), F.translate(w, latin, cyrillic)
+        has_en, has_ru = w.rlike(f"[{latin}]"), w.rlike(f"[{cyrillic}]")
+        tie = F.when(has_en & ~has_ru, to_ru).when(has_ru & ~has_en, to_en).otherwise(w)
+        return F.when((en == 0) | (ru == 0), w).when(en > ru, to_en).when(ru > en, to_ru).otherwise(tie)
+
+    return F.transform(words, one)
+
+
+# Cyrillic letters that look like Latin ones.
+LOOK_ALIKES = {"а": "a", "у": "y", "к": "k", "е": "e", "н": "h", "г": "r", "х": "x", "в": "b", "р": "p", "о": "o", "с": "c", "м": "m", "т": "t"}

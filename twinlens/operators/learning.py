@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +58,30 @@ def out_of_fold(df: DataFrame, columns: list[str], learner: Callable[[], Estimat
 
 def auc(scored: DataFrame, label: str = "label", score: str = "score") -> float:
     return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=score, numBins=0).evaluate(scored.withColumn(score, F.col(score).cast("double")))
+
+
+def auc_by(rows: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
+    """by, auc: the chance that a row of label 1 scores above one of label 0, ties counting
+    half. From counts by score: a window holds a row a distinct score."""
+    counts = rows.groupBy(*by, score).agg(F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.col(label) != 1, 1)).alias("neg"))
+    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    won = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
+    return counts.withColumn("won", won).groupBy(*by).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+
+
+def jitter(value: float, rng: random.Random, by: float = 0.1) -> float:
+    """value moved by up to `by` of it, either way."""
+    return value * (1 + rng.uniform(-by, by))
+
+
+def draw_columns(groups: dict[str, list[str]], rng: random.Random, k: int = 1, always: tuple[str, ...] = (), keep: float = 1.0) -> list[str]:
+    """The columns of k groups drawn without replacement, each kept with a chance of
+    `keep`, after those that are always there: a learner's random subspace."""
+    drawn = [g for g in rng.sample(sorted(groups), k) if rng.random() < keep]
+    return [*always, *[c for g in drawn for c in groups[g]]]
+
+
+def subspace_scores(df: DataFrame, groups: dict[str, list[str]], learner: Callable[[], Estimator], runs: int = 3, drawn: int = 2, seed: int = 42, k: int = 3) -> list[DataFrame]:
+    """Out-of-fold scores of learners that each see a few random groups of columns."""
+    rng = random.Random(seed)
+    return [out_of_fold(df, draw_columns(groups, rng, drawn), learner, k=k) for _ in range(runs)]

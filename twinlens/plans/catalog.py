@@ -75,7 +75,7 @@ def char_ngrams(spark, d):
 
 @query("t20_token_ngrams", f"""
 WITH s AS (SELECT p_partkey, {_WORDS} AS w FROM part),
-g AS (SELECT p_partkey, unnest(list_transform(range(0, len(w) - n + 1), lambda i: array_to_string(w[i + 1 : i + n], ''))) AS term FROM s, (VALUES (1), (2), (3), (4)) v(n))
+g AS (SELECT p_partkey, unnest(list_transform(range(0, len(w) - n + 1), lambda i: array_to_string(w[i + 1 : i + n], ''))) AS term FROM s, (VALUES (1), (1), (2), (3), (4)) v(n))
 SELECT p_partkey, term, count(*) AS n FROM g GROUP BY ALL""")
 def token_ngrams(spark, d):
     return _tf(spark, d, lambda c: text.token_ngrams(text.tokens(c), 1, 4))
@@ -95,7 +95,7 @@ def tfidf(spark, d):
 
 @query("v03_bm25", f"""
 WITH {_TF}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 5), c AS (SELECT count(DISTINCT p_partkey) AS docs FROM tf),
-k AS (SELECT * FROM tf JOIN df USING (term)), s AS (SELECT p_partkey, sum(n)::DOUBLE AS size FROM k GROUP BY 1), m AS (SELECT avg(size) AS mean FROM s)
+k AS (SELECT * FROM tf JOIN df USING (term)), s AS (SELECT p_partkey, sum(n)::DOUBLE AS size FROM k GROUP BY 1), m AS (SELECT sum(size) / max(docs) AS mean FROM s, c)
 SELECT p_partkey, term, round(n * 3.0 / (n + 2.0 * (0.25 + 0.75 * size / mean)) * ln((docs - df + 0.5) / (df + 0.5)), 6) AS weight
 FROM k JOIN s USING (p_partkey), c, m""")
 def bm25(spark, d):

@@ -4,29 +4,94 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import maps, tokens
+from ..functions import maps, text, tokens
 from .catalog import _CLEAN, _read, query
 
-_FORMS = "regexp_replace(replace(replace(lower(coalesce(text, '')), 'ё', 'е'), '²', '2'), '([0-9])\\.([0-9])', '\\1,\\2', 'g')"
-_SENTENCES = f"list_filter(list_transform(regexp_split_to_array({_FORMS}, '[.!?;\\n]'), lambda s: {_CLEAN.format(c='s')}), lambda s: s <> '')"
+_LETTER = "({0} BETWEEN 'a' AND 'z' OR {0} BETWEEN 'а' AND 'я')"
+_ALONE = f"(c[i] = '.' AND i > 1 AND {_LETTER.format('c[i - 1]')} AND ((c[i + 2] = '.' AND {_LETTER.format('c[i + 1]')}) OR (i > 3 AND c[i - 2] = '.' AND {_LETTER.format('c[i - 3]')})))"
+_SHORT = f"'([^а-я])({'|'.join(tokens.SHORTENED)})[.]', '\\1\\2 ', 'g'"
 
 
-@query("t09_sentences", f"WITH s AS (SELECT doc_id, {_SENTENCES} AS s FROM documents) SELECT doc_id, len(s)::BIGINT AS n, array_to_string(s, '|') AS sentences FROM s")
+def _sentences_sql(text: str, table: str = "documents", key: str = "doc_id") -> str:
+    """Common tables that end with z (key, s: the list of sentences). The dots of a run of
+    single letters are found by position; a shortened word that follows another one's dot
+    is replaced in the second of two passes."""
+    low = f"regexp_replace(replace(replace(lower(coalesce({text}, '')), 'ё', 'е'), '²', '2'), '([0-9])\\.([0-9])', '\\1,\\2', 'g')"
+    dotless = f"CASE WHEN t LIKE '%.%' THEN array_to_string(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN coalesce({_ALONE}, false) THEN '' ELSE c[i] END), '') ELSE t END"
+    return f"""l AS (SELECT {key}, {low} AS t, string_split({low}, '') AS c FROM {table}),
+f AS (SELECT {key}, regexp_replace(regexp_replace({dotless}, {_SHORT}), {_SHORT}) AS f FROM l),
+z AS (SELECT {key}, list_filter(list_transform(regexp_split_to_array(f, '[.!?;\\n]'), lambda s: {_CLEAN.format(c='s')}), lambda s: s <> '') AS s FROM f)"""
+
+
+@query("t09_sentences", f"WITH {_sentences_sql('text')} SELECT doc_id, len(s)::BIGINT AS n, array_to_string(s, '|') AS sentences FROM z")
 def sentences(spark, d):
     docs = _read(spark, d, "documents").select("doc_id", tokens.sentences(F.col("text")).alias("s"))
     return docs.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", "|").alias("sentences"))
 
 
-@query("t12_token_classes", f"""
-WITH w AS (SELECT doc_id, list_filter(string_split(array_to_string({_SENTENCES}, ' '), ' '), lambda x: x <> '') AS w FROM documents)
-SELECT doc_id, len(list_filter(w, lambda x: regexp_full_match(x, '[a-z]+')))::BIGINT AS latin,
+_CLASSES = """len(list_filter(w, lambda x: regexp_full_match(x, '[a-z]+')))::BIGINT AS latin,
   len(list_filter(w, lambda x: regexp_full_match(x, '[a-z0-9]+') AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]')))::BIGINT AS latin_digits,
   len(list_filter(w, lambda x: regexp_full_match(x, '[а-я0-9]+') AND regexp_matches(x, '[а-я]') AND regexp_matches(x, '[0-9]')))::BIGINT AS cyrillic_digits,
-  len(list_filter(w, lambda x: regexp_matches(x, '[а-я]') AND regexp_matches(x, '[a-z]')))::BIGINT AS mixed FROM w""")
+  len(list_filter(w, lambda x: regexp_matches(x, '[а-я]') AND regexp_matches(x, '[a-z]')))::BIGINT AS mixed"""
+
+
+@query("t12_token_classes", f"""
+WITH {_sentences_sql('text')}, v AS (SELECT doc_id, list_filter(string_split(array_to_string(s, ' '), ' '), lambda x: x <> '') AS w FROM z)
+SELECT doc_id, {_CLASSES} FROM v""")
 def token_classes(spark, d):
-    w = _read(spark, d, "documents").select("doc_id", tokens.sentence_tokens(F.col("text")).alias("w"))
+    docs = _read(spark, d, "documents").select("doc_id", _class_counts(tokens.sentence_tokens(F.col("text"))).alias("n"))
+    return docs.select("doc_id", "n.*")
+
+
+def _class_counts(words):
     classes = {"latin": tokens.latin_only, "latin_digits": tokens.latin_with_digits, "cyrillic_digits": tokens.cyrillic_with_digits, "mixed": tokens.mixed_script}
-    return w.select("doc_id", *[F.size(f(F.col("w"))).cast("long").alias(n) for n, f in classes.items()])
+    return text.bind(words, lambda w: F.struct(*[F.size(f(w)).cast("long").alias(n) for n, f in classes.items()]))
+
+
+# Texts in which some Latin letters are their Cyrillic look-alikes, or letters of their own,
+# as the documents have none: the same replacement in both engines.
+_ALIKE_LATIN, _ALIKE_CYRILLIC = "aeo", "аео"
+_OWN_LATIN, _OWN_CYRILLIC = "bdgijklmnstuvwyz", "бдгийклмнстуввыз"
+
+
+@query("t10_repaired_words", f"""
+WITH d AS (SELECT doc_id, translate(text, CASE WHEN doc_id % 3 = 0 THEN '{_ALIKE_LATIN}' ELSE '{_OWN_LATIN}' END, CASE WHEN doc_id % 3 = 0 THEN '{_ALIKE_CYRILLIC}' ELSE '{_OWN_CYRILLIC}' END) AS x FROM documents),
+{_sentences_sql('x', 'd')},
+v AS (SELECT doc_id, unnest(list_filter(string_split(array_to_string(s, ' '), ' '), lambda x: x <> '')) AS w FROM z),
+n AS (SELECT *, length(regexp_replace(w, '[^a-z]', '', 'g')) AS en, length(regexp_replace(w, '[^а-я]', '', 'g')) AS ru,
+  translate(w, '{"".join(text.LOOK_ALIKES)}', '{"".join(text.LOOK_ALIKES.values())}') AS to_en, translate(w, '{"".join(text.LOOK_ALIKES.values())}', '{"".join(text.LOOK_ALIKES)}') AS to_ru,
+  regexp_matches(w, '[{"".join(text.LOOK_ALIKES.values())}]') AS has_en, regexp_matches(w, '[{"".join(text.LOOK_ALIKES)}]') AS has_ru FROM v),
+r AS (SELECT doc_id, en > 0 AND ru > 0 AS mixed, CASE WHEN en = 0 OR ru = 0 THEN w WHEN en > ru THEN to_en WHEN ru > en THEN to_ru WHEN has_en AND NOT has_ru THEN to_ru WHEN has_ru AND NOT has_en THEN to_en ELSE w END AS w FROM n)
+SELECT doc_id, w, count(*) AS n, count(*) FILTER (mixed) AS n_mixed FROM r GROUP BY ALL""")
+def repaired_words(spark, d):
+    x = F.when(F.col("doc_id") % 3 == 0, F.translate("text", _ALIKE_LATIN, _ALIKE_CYRILLIC)).otherwise(F.translate("text", _OWN_LATIN, _OWN_CYRILLIC))
+    words = _read(spark, d, "documents").select("doc_id", tokens.sentence_tokens(x).alias("w"))
+    both = words.select("doc_id", F.explode(F.arrays_zip(F.col("w").alias("w"), text.repaired(F.col("w")).alias("r"))).alias("z"))
+    mixed = F.col("z.w").rlike("[a-z]") & F.col("z.w").rlike("[а-я]")
+    return both.select("doc_id", F.col("z.r").alias("w"), mixed.alias("mixed")).groupBy("doc_id", "w").agg(F.count("*").alias("n"), F.count(F.when(F.col("mixed"), 1)).alias("n_mixed"))
+
+
+_TRANSLIT = "translate(x, '{}', '{}')".format("".join(k for k, v in text.LATIN_OF.items() if v and len(v) == 1), "".join(v for v in text.LATIN_OF.values() if v and len(v) == 1))
+for _k, _v in text.LATIN_OF.items():
+    if not _v or len(_v) > 1:
+        _TRANSLIT = f"replace({_TRANSLIT}, '{_k}', '{_v or ''}')"
+_CYRILLICISED = ("abcdefghijklmnopqrstuvwxyz", "абцдёфгхийжклмнопщрстувьыяюэш"[:26])
+
+
+@query("t19_transliteration", f"WITH d AS (SELECT doc_id, translate(lower(text), '{_CYRILLICISED[0]}', '{_CYRILLICISED[1]}') AS x FROM documents) SELECT doc_id, {_TRANSLIT} AS latin FROM d")
+def transliteration(spark, d):
+    return _read(spark, d, "documents").select("doc_id", text.transliterate(F.translate(F.lower("text"), *_CYRILLICISED)).alias("latin"))
+
+
+@query("m06_differences_of_left", """
+WITH c AS (SELECT user_id, event_type, count(*)::DOUBLE AS n FROM events GROUP BY ALL)
+SELECT a.user_id, a.event_type, abs(a.n - coalesce(b.n, 0.0)) AS difference
+FROM c a JOIN (SELECT DISTINCT user_id FROM events) w ON w.user_id = a.user_id + 1 LEFT JOIN c b ON b.user_id = w.user_id AND b.event_type = a.event_type""")
+def differences_of_left(spark, d):
+    n = _read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("n"))
+    m = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))  # a handful of types
+    other = m.select((F.col("user_id") - 1).alias("user_id"), F.col("m").alias("o"))
+    return m.join(other, "user_id").select("user_id", F.explode(maps.difference_of_left(F.col("m"), F.col("o"))).alias("event_type", "difference"))
 
 
 @query("t15_exotic_characters", """

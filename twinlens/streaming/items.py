@@ -25,6 +25,7 @@ def with_item_columns(items: DataFrame, text_col: str = "text") -> DataFrame:
 
 def windowed_counts(events: DataFrame, time_col: str, keys: list[str], window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Rows by window and keys; those later than the watermark are left out."""
+    events = events.withColumn(time_col, F.col(time_col).cast("timestamp"))  # a watermark takes no other type
     counted = events.withWatermark(time_col, late).groupBy(F.window(time_col, window), *keys).agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("start"), *keys, "n")
 
