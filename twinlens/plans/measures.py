@@ -11,6 +11,8 @@ from .catalog import _WORDS, ORACLES, _pairs, _read, chargram_cosine, pair_featu
 from .vector_queries import _STATS, _CROSSED, _item_pairs, _parts, _rounded, _summaries_sql, _summary_sql
 
 _BITS = 16
+#: Decimals compared: values have six, so means and quartiles have few more.
+_DIGITS = {"std": 8, "skew": 8, "kurtosis": 8}
 _METRICS = ("hamming_distance", "dot_product", "abs_entropy_diff", "symmetric_cross_entropy")
 _P = f"bit_count({{0}}) / {2.0 * _BITS}"
 _ENT = "CASE WHEN {0} = 0 THEN 0.0 ELSE -({0} * ln({0}) + (1 - {0}) * ln(1 - {0})) END"
@@ -30,10 +32,10 @@ _SIXTEEN = f"b AS (SELECT vec_id // 4 AS item, vec_id, 'h' || k AS hash, list_su
 WITH {_SIXTEEN}, u AS (SELECT DISTINCT item, hash, h FROM b),
 x AS (SELECT a.item AS id_1, c.item AS id_2, a.hash, xor(a.h, c.h) AS x, a.h & c.h AS n, {_P.format('a.h')} AS p, {_P.format('c.h')} AS q FROM u a JOIN u c ON c.item = a.item + 1 AND c.hash = a.hash),
 d AS (SELECT id_1, id_2, hash, 'hamming_distance' AS metric, bit_count(x)::DOUBLE AS v FROM x UNION ALL SELECT id_1, id_2, hash, 'dot_product', bit_count(n)::DOUBLE FROM x
-  UNION ALL SELECT id_1, id_2, hash, 'abs_entropy_diff', round(abs({_ENT.format('p')} - {_ENT.format('q')}), 9) FROM x
-  UNION ALL SELECT id_1, id_2, hash, 'symmetric_cross_entropy', round(({_CROSS.format('p', 'q')} + {_CROSS.format('q', 'p')}) / 2, 9) FROM x),
+  UNION ALL SELECT id_1, id_2, hash, 'abs_entropy_diff', round(abs({_ENT.format('p')} - {_ENT.format('q')}), 6) FROM x
+  UNION ALL SELECT id_1, id_2, hash, 'symmetric_cross_entropy', round(({_CROSS.format('p', 'q')} + {_CROSS.format('q', 'p')}) / 2, 6) FROM x),
 m AS (SELECT *, avg(v) OVER (PARTITION BY id_1, hash, metric) AS v_mu FROM d), s AS (SELECT id_1, id_2, hash, metric, {_summary_sql('v')} FROM m GROUP BY ALL)
-SELECT id_1, id_2, hash, metric, {', '.join(f'round(v_{k}::DOUBLE, 8) + 0.0 AS v_{k}' for k in _STATS)} FROM s""")
+SELECT id_1, id_2, hash, metric, {', '.join(f'round(v_{k}::DOUBLE, {_DIGITS.get(k, 11)}) + 0.0 AS v_{k}' for k in _STATS)} FROM s""")
 def hash_family(spark, d):
     """Four hashes by four metrics, eight numbers each, over all pairs of a pair's distinct
     hashes: one row a pair, hash and metric."""
@@ -41,12 +43,12 @@ def hash_family(spark, d):
     side = lambda n: own.select(F.col("item").alias(f"id_{n}"), "hash", F.col("h").alias(f"h_{n}"))
     crossed = _item_pairs(own).join(side(1), "id_1").join(side(2), ["id_2", "hash"])
     a, b = F.col("h_1"), F.col("h_2")
-    values = [vectors.hamming(a, b), vectors.shared_ones(a, b), F.round(F.abs(hashes.entropy(a, _BITS) - hashes.entropy(b, _BITS)), 9), F.round(hashes.symmetric_cross_entropy(a, b, _BITS), 9)]
+    values = [vectors.hamming(a, b), vectors.shared_ones(a, b), F.round(F.abs(hashes.entropy(a, _BITS) - hashes.entropy(b, _BITS)), 6), F.round(hashes.symmetric_cross_entropy(a, b, _BITS), 6)]
     long = crossed.select("id_1", "id_2", "hash", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("v")) for n, v in zip(_METRICS, values)])).alias("m")).select("id_1", "id_2", "hash", "m.*")
     from ..operators.stats import summary
 
     out = long.groupBy("id_1", "id_2", "hash", "metric").agg(*summary(F.col("v"), "v_"))
-    return out.select("id_1", "id_2", "hash", "metric", *[(F.round(f"v_{k}", 8) + 0.0).alias(f"v_{k}") for k in _STATS])
+    return out.select("id_1", "id_2", "hash", "metric", *[(F.round(f"v_{k}", _DIGITS.get(k, 11)) + 0.0).alias(f"v_{k}") for k in _STATS])
 
 
 @query("j09_without_common_parts", f"""
