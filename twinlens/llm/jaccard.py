@@ -38,7 +38,7 @@ from ._common import byte_chunks, drop_stored, free_name, mix, quoted, stored, w
 from .components import connected_components
 
 #: Documents of a leaf that one block holds.
-BLOCK = 256
+BLOCK = 1024
 #: Points under one box of a leaf, and groups of the points that pack blocks.
 FANOUT, COARSE = 16, 16
 
@@ -321,13 +321,13 @@ def _meet(df: DataFrame, id_col: str, text_col: str, n_words: int, percent: int,
         labels = connected_components(first.select("a", "b"))
         at = packed.join(labels, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
         hubs = labels.select(F.col("id").alias("leaf"), F.col("component").alias("of_hub"))
-        rest = at.join(hubs, "leaf", "left").where(F.col("own") != F.coalesce("of_hub", "leaf")).drop("own", "of_hub")
-        count = rest.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
-        rest = rest.drop("block").join(count, "leaf").withColumn("block", -2 - F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
-        rest = stored(rest, "jaccard-rest")
-        pairs = _block_pairs(_boxes(rest), boxes, percent)
-        sides = [x.withColumnRenamed("block", side).join(pairs, ["leaf", side]).withColumn("block", F.col(side)) for x, side in ((rest, "i"), (packed, "j"))]
-        second = stored(verified(sides[0].select("leaf", "id", "block", "i", "j").unionByName(sides[1].select("leaf", "id", "block", "i", "j"))), "jaccard-links")
+        rest = at.join(hubs, "leaf", "left").where(F.col("own") != F.coalesce("of_hub", "leaf")).select("leaf", "id")
+        rest = stored(_packed(rest, classes).withColumn("block", -2 - F.col("block")), "jaccard-rest")
+        others = packed.join(rest.select("leaf", "id"), ["leaf", "id"], "left_anti")  # in one component
+        of_rest = _boxes(rest)
+        pairs = _block_pairs(of_rest, of_rest, percent).where("i >= j").unionByName(_block_pairs(of_rest, _boxes(others), percent))
+        both = rest.unionByName(others.select(*rest.columns))
+        second = stored(verified(_dealt(both, pairs)), "jaccard-links")
         found = first.unionByName(second)
         drop_stored(rest)
     drop_stored(classes, leaf, large, packed)
