@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizer, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,3 +85,21 @@ def subspace_scores(df: DataFrame, groups: dict[str, list[str]], learner: Callab
     """Out-of-fold scores of learners that each see a few random groups of columns."""
     rng = random.Random(seed)
     return [out_of_fold(df, draw_columns(groups, rng, drawn), learner, k=k) for _ in range(runs)]
+
+
+def signed_terms(rows: DataFrame, words: str, label: str, learner: LogisticRegression, min_df: int = 5) -> DataFrame:
+    """term, coefficient: those that a linear learner with a penalty leaves, over which of
+    the words a row has. rows: arrays of words, and labels 0 or 1."""
+    counter = CountVectorizer(inputCol=words, outputCol="_terms", minDF=min_df, binary=True).fit(rows)
+    learner = learner.copy({learner.featuresCol: "_terms", learner.labelCol: label})
+    found = zip(counter.vocabulary, learner.fit(counter.transform(rows)).coefficients.toArray().tolist())
+    return rows.sparkSession.createDataFrame([x for x in found if x[1]], "term string, coefficient double")
+
+
+def signed_counts(items: DataFrame, key: str, words: Column, terms: DataFrame) -> DataFrame:
+    """key, positive, negative: how many of an item's distinct words have a coefficient of
+    either sign; 0 without words."""
+    own = items.select(key, F.explode(F.array_distinct(words)).alias("term")).join(terms, "term")
+    sign = lambda c: F.count(F.when(c, 1))
+    counts = own.groupBy(key).agg(sign(F.col("coefficient") > 0).alias("positive"), sign(F.col("coefficient") < 0).alias("negative"))
+    return items.select(key).join(counts, key, "left").na.fill(0, ["positive", "negative"])
