@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that have one."""
 
-from . import chat, exact_dedup, jaccard, line_dedup, mixing, pieces, quality, sharding, suffix, warc
+from . import chat, exact_dedup, jaccard, line_dedup, mixing, negatives, pieces, quality, sharding, suffix, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_warc": warc.op10_warc,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
 }
 
 ORACLES = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
 }
