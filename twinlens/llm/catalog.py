@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that have one."""
 
-from . import alignment, chat, exact_dedup, jaccard, line_dedup, mixing, negatives, pieces, quality, sharding, suffix, warc
+from . import alignment, chat, exact_dedup, jaccard, licenses, line_dedup, mixing, negatives, pieces, quality, sharding, suffix, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_warc": warc.op10_warc,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_licenses": licenses.op12_licenses,
     "op13_alignment": alignment.op13_alignment,
 }
 
