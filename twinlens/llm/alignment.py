@@ -86,7 +86,8 @@ class Tokenizers:
 
 def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts of units in texts that each begin with a space of their own: before a space
-    after what is surely no white space. Beyond ASCII, blocks with white space count as such."""
+    after what is surely no white space, but for a text's last space, which would be a unit
+    without anything else. Beyond ASCII, blocks with white space count as such."""
     space = data == 32
     before = np.concatenate(([32], data[:-1]))
     solid = (before > 32) & (before < 127)
@@ -97,6 +98,7 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         blank |= ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80)) | ((three == 0xE1) & ((two == 0x9A) | (two == 0xA0)))
         solid |= (before >= 128) & ~blank
     new = space & solid
+    new[offsets[1:][offsets[1:] > 0] - 1] = False
     new[offsets[:-1]] = True
     return np.flatnonzero(new)
 
