@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 
 def listed(c: Column) -> Column:
     """The entries of a comma-separated list, stripped; entries without a character are
@@ -14,11 +16,16 @@ def listed(c: Column) -> Column:
 
 def report(c: Column, prefix: str = "") -> Column:
     """'"k"=>"v", ...' as a map, keys with a prefix, empty values as NA; entries without an
-    arrow are left out."""
+    arrow are left out, and of entries with one key the last one counts."""
     entries = F.filter(F.split(F.coalesce(c, F.lit("")), ", "), lambda e: F.contains(e, F.lit("=>")))
     bare = lambda x: F.btrim(x, F.lit('"'))
     pair = lambda e: F.struct(F.concat(F.lit(prefix), bare(F.substring_index(e, "=>", 1))).alias("key"), F.coalesce(F.nullif(bare(F.substring_index(e, "=>", -1)), F.lit("")), F.lit("NA")).alias("value"))
-    return F.map_from_entries(F.transform(entries, pair))
+
+    def last(found):
+        keys = F.transform(found, lambda e: e["key"])
+        return F.filter(found, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+
+    return F.map_from_entries(bind(F.transform(entries, pair), last))
 
 
 def value_and_norm(c: Column) -> tuple[Column, Column]:

@@ -16,7 +16,7 @@ def _sentences_sql(text: str, table: str = "documents", key: str = "doc_id") ->
     """Common tables that end with z (key, s: the list of sentences). The dots of a run of
     single letters are found by position; a shortened word that follows another one's dot
     is replaced in the second of two passes."""
-    low = f"regexp_replace(replace(replace(lower(coalesce({text}, '')), 'ё', 'е'), '²', '2'), '([0-9])\\.([0-9])', '\\1,\\2', 'g')"
+    low = f"regexp_replace(replace(replace(lower(coalesce({text}, '')), 'ё', 'е'), '²', '2'), '([0-9]+)\\.([0-9]+)', '\\1,\\2', 'g')"
     dotless = f"CASE WHEN t LIKE '%.%' THEN array_to_string(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN coalesce({_ALONE}, false) THEN '' ELSE c[i] END), '') ELSE t END"
     return f"""l AS (SELECT {key}, {low} AS t, string_split({low}, '') AS c FROM {table}),
 f AS (SELECT {key}, regexp_replace(regexp_replace({dotless}, {_SHORT}), {_SHORT}) AS f FROM l),
