@@ -80,7 +80,7 @@ def test_signed_terms_are_the_planted_ones(spark):
         own = ["fine" if label else "awful"] if rng.random() < 0.8 else []
         rows.append((i, [*own, *rng.choice(["and", "the", "of"], 2).tolist()], float(label)))
     df = spark.createDataFrame(rows, "id long, words array<string>, label double")
-    terms = learning.signed_terms(df, "words", "label", learning.linear(0.3, 300))
+    terms = learning.signed_terms(df, "id", F.col("words"), "label", c=0.3, rounds=16)
     signs = {r["term"]: r["coefficient"] > 0 for r in terms.collect()}
     assert signs["fine"] and not signs["awful"] and "rare" not in signs
     items = spark.createDataFrame([(1, ["fine", "fine", "awful"]), (2, ["x"]), (3, None)], "id long, words array<string>")
@@ -95,7 +95,7 @@ def test_scores_of_components_are_of_use_on_unseen_rows(spark):
         x = rng.normal()
         rows.append((i, x + rng.normal() / 5, x + rng.normal() / 5, None if i % 9 == 0 else x, float(x > 0)))
     df = spark.createDataFrame(rows, "id long, a double, b double, c double, label double").withColumn("fold", learning.fold("id"))
-    scored = learning.out_of_fold(df, ["a", "b", "c"], lambda: learning.linear(1.0, 300), components=1)
+    scored = learning.component_scores(df, "id", ["a", "b", "c"], 1, c=0.1, rounds=12)
     assert scored.count() == 400 and learning.auc(scored) > 0.95
 
 

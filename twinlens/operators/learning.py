@@ -9,11 +9,14 @@ from functools import reduce
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.kept import kept
+from . import sparse
+
 
 def fold(*keys: str, k: int = 4, seed: int = 42) -> Column:
     """0 to k - 1 by the keys' hash: the same row is in the same fold in any run."""
@@ -46,6 +49,16 @@ def prepared(columns: list[str], components: int | None = None) -> list:
     return stages + ([PCA(k=components, inputCol="_scaled", outputCol="features")] if components else [])
 
 
+def component_scores(df: DataFrame, key: str, columns: list[str], components: int, c: float, folds: int = 4, **how) -> DataFrame:
+    """df (key, label, fold, columns) with score: an L1-penalised learner of the other folds, on
+    principal components of all rows' filled and scaled columns; rows with a null label by one
+    of all labelled rows. df should be stored: it is scanned several times."""
+    stages = prepared(columns, components)
+    found = Pipeline(stages=stages).fit(df).transform(df).select(key, F.posexplode(vector_to_array("features")).alias("i", "value"))
+    rows = kept(found.select(key, F.concat(F.lit("c"), F.col("i")).alias("term"), "value"), "components")
+    return sparse.out_of_fold(rows, df, key, c, folds, **how)
+
+
 def out_of_fold(df: DataFrame, columns: list[str], learner: Callable[[], Estimator], fold_col: str = "fold", k: int = 4, components: int | None = None) -> DataFrame:
     """df with score, each row's probability of label 1 by a model that saw the other
     folds only. Preparation is fitted on these folds as well."""
@@ -87,13 +100,14 @@ def subspace_scores(df: DataFrame, groups: dict[str, list[str]], learner: Callab
     return [out_of_fold(df, draw_columns(groups, rng, drawn), learner, k=k) for _ in range(runs)]
 
 
-def signed_terms(rows: DataFrame, words: str, label: str, learner: LogisticRegression, min_df: int = 5) -> DataFrame:
-    """term, coefficient: those that a linear learner with a penalty leaves, over which of
-    the words a row has. rows: arrays of words, and labels 0 or 1."""
-    counter = CountVectorizer(inputCol=words, outputCol="_terms", minDF=min_df, binary=True).fit(rows)
-    learner = learner.copy({learner.featuresCol: "_terms", learner.labelCol: label})
-    found = zip(counter.vocabulary, learner.fit(counter.transform(rows)).coefficients.toArray().tolist())
-    return rows.sparkSession.createDataFrame([x for x in found if x[1]], "term string, coefficient double")
+def signed_terms(rows: DataFrame, key: str, words: Column, label: str, c: float, min_df: int = 5, **how) -> DataFrame:
+    """term, coefficient: those that a linear learner with an L1 penalty leaves, over which of
+    the words in min_df rows or more a row has. No vocabulary is collected, and none cut."""
+    own = kept(rows.select(key, F.explode(F.array_distinct(words)).alias("term")), "row-terms")
+    often = own.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).select("term")
+    labels = rows.select(F.lit(0).alias("model"), key, F.col(label).alias("label"))
+    found = sparse.svm(own.join(often, "term").select(key, "term", F.lit(1.0).alias("value")), labels, key, c, **how)
+    return found.where(F.col("term") != sparse.INTERCEPT).select("term", F.col("w").alias("coefficient"))
 
 
 def signed_counts(items: DataFrame, key: str, words: Column, terms: DataFrame) -> DataFrame:

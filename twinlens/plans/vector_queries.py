@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contact, maps
 from ..operators import learning, vectors
+from ..sources.kept import kept
 from .catalog import _read, query
 
 _STATS = ("min", "p25", "mean", "p75", "max", "std", "skew", "kurtosis")
@@ -143,4 +144,5 @@ def out_of_fold(spark, d):
     features = {"n_chars": F.char_length(t), "n_words": F.size(F.split(t, " ")), "n_distinct": F.size(F.array_distinct(F.split(t, " "))), "n_symbols": F.char_length(F.regexp_replace(t, r"[\pL\pN ]", "")), "n_lines": F.size(F.split(t, "\n"))}
     docs = _read(spark, d, "documents").select("doc_id", *[c.cast("double").alias(n) for n, c in features.items()])
     rows = _read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")).join(docs, "doc_id").withColumn("fold", learning.fold("doc_id"))
+    rows = kept(rows, "features")  # each fold's scans read these, not the texts
     return learning.out_of_fold(rows, list(features), lambda: learning.LogisticRegression(regParam=0.01)).select("doc_id", "label", "fold", "score")
