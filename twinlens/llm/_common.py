@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ _CHUNK = 1 << 20  # bytes hashed at once; a longer text goes alone
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
+_made: ContextVar[list | None] = ContextVar("made", default=None)
 
 #: While a table is written: its shuffles' files go when the write ends (the table is
 #: whole, so nobody reads them again), and sorted runs keep their order and buckets.
@@ -78,6 +80,24 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@contextmanager
+def tables_made():
+    """A list that gets every table stored meanwhile: what is to be dropped once the results
+    are written."""
+    made: list[DataFrame] = []
+    before = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(before)
+
+
+def _noted(df: DataFrame) -> DataFrame:
+    if _made.get() is not None:
+        _made.get().append(df)
+    return df
+
+
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, and a lost
     executor costs no recomputation of what came before. by: a folder for each value."""
@@ -86,7 +106,7 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    return out
+    return _noted(out)
 
 
 def run_buckets(spark: SparkSession) -> int:
@@ -105,7 +125,7 @@ def sorted_run(df: DataFrame, name: str, by: str, order: list[str], part: str |
         (writer.partitionBy(part) if part else writer).saveAsTable(table)
     out = spark.table(table)
     out.stored_at, out.stored_as = path, table
-    return out
+    return _noted(out)
 
 
 def drop_stored(*tables: DataFrame) -> None:
