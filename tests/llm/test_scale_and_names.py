@@ -226,6 +226,25 @@ def test_only_what_results_read_is_left(spark, awkward, monkeypatch):
     assert {t.name for t in spark.catalog.listTables()} == before
 
 
+def test_a_pipeline_leaves_its_last_input_only(awkward, spark, table):
+    import os
+
+    import corpus_pipeline
+
+    folder = _common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    docs = awkward.select("doc_id", "text", "lang", F.coalesce("source", F.lit("s")).alias("source"), "n_chars")
+    sf_dir = table(documents=docs, labels=spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int"))
+    want = corpus_pipeline.run(spark, sf_dir).count()
+    left = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before if not x.startswith("."))
+    assert left == ["pipeline-mixing"]
+    # stage by stage without writing between: nothing that is still read goes
+    out = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, sf_dir)
+    assert out.count() == want
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Context:
         master = "spark://somewhere:7077"
