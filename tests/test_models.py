@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinlens.functions import text
-from twinlens.operators import latent, learning
+from twinlens.operators import blocks, latent, learning
 from twinlens.plans import catalog, models  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +31,21 @@ def test_more_components_than_words(spark):
     assert [len(r["latent"]) for r in rows] == [2, 2, 2]
 
 
+def test_many_vectors_in_stripes_and_salts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = (rng.random((120, 80)) < 0.2) * rng.random((120, 80)) * np.geomspace(9, 0.1, 80)
+    rows = [(int(i), f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))]
+    entries = spark.createDataFrame(rows, "id long, term string, value double").repartition(5)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "STREAMED", 40)
+    v, values = blocks.right_singular_vectors(entries, "id", "term", "value", 6, more=20, rounds=2)
+    want = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(values, want[1][:6], rtol=1e-4)
+    got = {r.key: r.vector for r in v.collect()}
+    have = np.array([got[f"t{j}"] for j in range(80)])
+    assert np.allclose(np.abs(np.sum(have * want[2][:6].T, 0)), 1, atol=1e-2) and np.allclose(have.T @ have, np.eye(6), atol=1e-8)
+
+
 def test_dense_matches(spark):
     rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [4.0, 3.0])], "id long, v array<double>")
     pairs = spark.createDataFrame([(1, 3), (1, 2)], "id_1 long, id_2 long")
@@ -100,7 +115,7 @@ def test_scores_of_components_are_of_use_on_unseen_rows(spark):
 
 
 def test_queries_that_fit_models(spark):
-    for name in ("v04_singular_vectors", "v05_word_vectors"):
+    for name in ("v04_singular_vectors", "v04_attribute_vectors", "v05_word_vectors", "v06_context_vectors"):
         df = catalog.QUERIES[name](spark, SF)
         n = df.count()
         assert n == df.select("id_1", "id_2").distinct().count() > 0
