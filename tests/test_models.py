@@ -124,3 +124,19 @@ def test_queries_that_fit_models(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").count()
     for name in ("l04_scores_of_components", "l05_signed_terms"):
         assert catalog.QUERIES[name](spark, SF).count() == labels
+
+
+def test_stacked_scores(spark):
+    rows = catalog.QUERIES["l10_stacking"](spark, SF).cache()
+    assert rows.count() == rows.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/labels.parquet").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").count()
+    assert rows.where("score < 0 or score > 1 or trees is null or subspaces is null or linear is null").count() == 0
+    best = {n: learning.auc(rows, score=n) for n in ("trees", "subspaces", "score")}
+    assert all(a > 0.6 for a in best.values()), best
+
+
+def test_random_subspaces_find_the_group_that_tells(spark):
+    rng = np.random.default_rng(17)
+    rows = [(i, float(i % 2), i % 3, float(i % 2) + rng.normal() / 4, rng.normal(), None if i % 5 == 0 else rng.normal()) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, label double, fold int, a double, b double, c double")
+    out = learning.subspace_scores(df, "id", {"x": ["a"], "y": ["b", "c"]}, lambda rng: learning.boosted(rounds=2, rng=rng), runs=2, drawn=2)
+    assert out.count() == 240 and learning.auc(out) > 0.95

@@ -5,17 +5,19 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.kept import kept
 from . import sparse
+from .extra_trees import ExtraTrees
 
 
 def fold(*keys: str, k: int = 4, seed: int = 42) -> Column:
@@ -32,13 +34,16 @@ def stacker(c: float, rows: int) -> LogisticRegression:
     return LogisticRegression(regParam=1.0 / (c * rows), standardization=False)
 
 
-def boosted(rounds: int = 100, seed: int = 42) -> GBTClassifier:
-    return GBTClassifier(maxDepth=8, stepSize=0.05, subsamplingRate=0.86, featureSubsetStrategy="0.55", maxIter=rounds, seed=seed)
+# What the boosted trees are set to.
+BOOSTED = {"maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.86, "featureSubsetStrategy": "0.55"}
 
 
-def forest(trees: int = 160, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
-    """Spark's trees end at a depth of 30."""
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, impurity="entropy", seed=seed)
+def boosted(rounds: int = 100, seed: int = 42, rng: random.Random | None = None) -> GBTClassifier:
+    """Boosted trees; with rng, the share of rows of a round is jittered and the seed drawn."""
+    how = dict(BOOSTED)
+    if rng is not None:
+        how["subsamplingRate"], seed = min(1.0, jitter(how["subsamplingRate"], rng)), rng.randrange(1 << 30)
+    return GBTClassifier(maxIter=rounds, seed=seed, **how)
 
 
 def prepared(columns: list[str], components: int | None = None) -> list:
@@ -94,10 +99,35 @@ def draw_columns(groups: dict[str, list[str]], rng: random.Random, k: int = 1, a
     return [*always, *[c for g in drawn for c in groups[g]]]
 
 
-def subspace_scores(df: DataFrame, groups: dict[str, list[str]], learner: Callable[[], Estimator], runs: int = 3, drawn: int = 2, seed: int = 42, k: int = 3) -> list[DataFrame]:
-    """Out-of-fold scores of learners that each see a few random groups of columns."""
-    rng = random.Random(seed)
-    return [out_of_fold(df, draw_columns(groups, rng, drawn), learner, k=k) for _ in range(runs)]
+def subspace_scores(df: DataFrame, key: str, groups: dict[str, list[str]], learner: Callable[[random.Random], Estimator], runs: int = 3, drawn: int = 2, seed: int = 42, k: int = 3, at_once: int = 4) -> DataFrame:
+    """df (key, label, fold, columns) with score: the mean of out-of-fold scores of `runs`
+    learners that each see a few random groups of columns. Columns, nulls filled with
+    medians, are assembled and stored once; learners see slices of the vector, some fitted at once."""
+    rng, columns = random.Random(seed), sorted({c for g in groups.values() for c in g})
+    filled = [f"_{c}" for c in columns]
+    stages = [Imputer(inputCols=columns, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="all_features")]
+    rows = kept(Pipeline(stages=stages).fit(df).transform(df).select(key, "label", "fold", "all_features"), "assembled")
+    jobs = []
+    for _ in range(runs):
+        own = VectorSlicer(inputCol="all_features", outputCol="features", indices=[columns.index(c) for c in draw_columns(groups, rng, drawn)])
+        made = learner(rng)
+        jobs += [(own, made, i) for i in range(k)]
+
+    def scored(job):
+        own, made, i = job
+        model = made.fit(own.transform(rows.where(F.col("fold") != i)))
+        return model.transform(own.transform(rows.where(F.col("fold") == i))).select(key, vector_to_array("probability")[1].alias("score"))
+
+    with ThreadPool(at_once) as pool:
+        parts = pool.map(scored, jobs)
+    return df.join(reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.avg("score").alias("score")), key)
+
+
+def tree_scores(df: DataFrame, columns: list[str], trees: ExtraTrees, k: int = 3) -> DataFrame:
+    """df (label, fold, columns without nulls) with score by extremely randomised trees of the
+    other folds. df should be stored."""
+    parts = [trees.fit(df.where(F.col("fold") != i), columns).transform(df.where(F.col("fold") == i)) for i in range(k)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def signed_terms(rows: DataFrame, key: str, words: Column, label: str, c: float, min_df: int = 5, **how) -> DataFrame:
