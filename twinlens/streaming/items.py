@@ -35,3 +35,26 @@ def process_new(stream: DataFrame, out: str, checkpoint: str, transform: Callabl
     remembers the files done, so a broken run goes on where it was."""
     writer = transform(stream).writeStream.format("parquet").outputMode("append")
     return writer.option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_once(stream: DataFrame, keys: list[str], out: str, checkpoint: str, time_col: str | None = None, late: str = "2 hours") -> StreamingQuery:
+    """Appends rows to out so that each batch and each key counts once, whatever is run again.
+
+    A batch is written to a folder named by its number, in place of what a broken run left
+    there. Rows whose keys came before go: within the watermark of time_col, where given (the
+    state stays bounded), else of all time.
+    """
+    if time_col:
+        fresh = stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late).dropDuplicatesWithinWatermark(keys)
+    else:
+        fresh = stream.dropDuplicates(keys)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def appended(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+    """What append_once() has written."""
+    return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*")
