@@ -46,3 +46,16 @@ def test_a_broken_run_gives_each_row_once(spark, tmp_path):
     rows.where("id < 5").write.mode("append").parquet(source)
     run("ts")
     assert ids() == list(range(20))
+
+
+def test_descriptions_of_grey_and_broken_images(spark):
+    from twinlens.operators import metadata
+
+    line = '{"Type": "Bilevel", "Channel moments": {"Gray": {"Centroid": "3.5,4", "I1": "0.1 (2e-3)"}}, "Channel statistics": {"Gray": {"min": "7 (0.5)", "entropy": "x"}}, "Channel perceptual hash": {"Red, Hue": {"PH1": "1.5, -2"}}, "Number pixels": "2.5K", "Filesize": "7B", "Geometry": "640x480+0+0"}'
+    df = spark.createDataFrame([(1, line), (2, "{}"), (3, None), (4, "not json")], "id long, line string").select("id", F.from_json("line", metadata.schema()).alias("m"))
+    got = {r.id: r for r in df.select("id", *[c.alias(n) for n, c in metadata.image_scalars(F.col("m"), ["Red, Hue"]).items()]).collect()}
+    one = got[1]
+    assert one.moments_overall_ellipse_centroid_x == one.moments_blue_ellipse_centroid_x == 3.5 and one.moments_red_I1_2 == 0.002
+    assert (one.imstat_green_min, one.imstat_green_entropy, one.phash_red_ph1, one.phash_hue_ph1) == (0.5, None, 1.5, -2.0)
+    assert (one.no_pixels, one.filesize, one.geometry, one.type) == (2500.0, 7.0, "640x480", "Bilevel")
+    assert all(x is None for k in (2, 3, 4) for x in got[k][1:])

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reports, vectors
-from .catalog import query
+from ..operators import metadata, reports, vectors
+from .catalog import _read, query
 from .measures import _HIST, _ZIP
 from .vector_queries import _CROSSED, _STATS, _item_pairs, _parts, _summary_sql
 
@@ -60,3 +60,49 @@ def pair_reports(spark, d):
     signatures = parts.select(F.col("vec_id").alias("image"), (F.col("vec_id") % _SIGNS).alias("signature"))
     out = reports.pair_metrics(read, signatures)
     return out.select("id_1", "id_2", *[(F.round(c, 8) + 0.0).alias(c) for c in out.columns[2:]])
+
+
+#: Where a channel's numbers begin in a vector; the order in which they are taken for names.
+_AT = {"Overall": 0, "Red": 12, "Green": 24, "Blue": 36, "Gray": 48}
+_HASH_KEYS = ["Red, Hue", "Green, Chroma", "Blue, Luma"]
+_PLACES = {"ellipse_major": 1, "ellipse_minor": 2, "ellipse_eccentricity": 3, "ellipse_intensity": 5, "ellipse_angle": 6, "ellipse_centroid_x": 7, "ellipse_centroid_y": 8} | {f"I{i}_{k}": i + k - 1 for i in range(1, 9) for k in (1, 2)}
+_STAT_PLACES = {"skewness": 9, "min": 10, "max": 11, "mean": 12, "std": 1, "entropy": 2, "kurtosis": 3}
+
+
+def _scalars_sql() -> str:
+    at = lambda c, k: f"round(embedding[CASE WHEN label % 2 = 0 THEN {_AT['Gray']} ELSE {_AT[c]} END + {k}]::DOUBLE, 6)"
+    out = [f"{at(c, k)} AS {p}_{c.lower()}_{n}" for p, places in (("moments", _PLACES), ("imstat", _STAT_PLACES)) for c in list(_AT)[:4] for n, k in places.items()]
+    out += [f"round(embedding[{8 * i + j + 32 * side}]::DOUBLE, 6) AS phash_{n}_ph{j}" for i, key in enumerate(_HASH_KEYS) for side, n in enumerate(key.lower().split(", ")) for j in range(1, 8)]
+    return ", ".join([*out, "label * 1000.0::DOUBLE AS no_pixels", "vec_id * 1024.0::DOUBLE AS filesize", "'10x' || label AS geometry", "CASE WHEN label % 2 = 0 THEN 'Grayscale' ELSE 'TrueColor' END AS type"])
+
+
+@query("i18_image_metadata", f"SELECT vec_id, {_scalars_sql()} FROM embeddings")
+def image_metadata(spark, d):
+    """166 scalar columns of descriptions that are written as JSON from `embeddings`; grey images
+    have one channel, which counts for all."""
+    number = lambda k: F.round(F.get("embedding", F.lit(k - 1)).cast("double"), 6).cast("string")
+    bracket = lambda k: F.concat(number(k), F.lit(" ("), number(k + 1), F.lit(")"))
+    only = lambda k: F.concat(F.lit("0 ("), number(k), F.lit(")"))
+    comma = lambda j, k: F.concat(number(j), F.lit(", "), number(k))
+    grey = F.col("label") % 2 == 0
+
+    def named(entries):
+        return F.struct(*[v.alias(n) for n, v in entries.items()])
+
+    def moments(o):
+        return named({"Ellipse Semi-Major/Minor axis": comma(o + 1, o + 2), "Ellipse eccentricity": number(o + 3), "Ellipse intensity": bracket(o + 4), "Ellipse angle": number(o + 6), "Centroid": comma(o + 7, o + 8)} | {f"I{i}": bracket(o + i) for i in range(1, 9)})
+
+    def statistics(o):
+        return named({"skewness": number(o + 9), "min": only(o + 10), "max": only(o + 11), "mean": only(o + 12), "standard deviation": only(o + 1), "entropy": number(o + 2), "kurtosis": number(o + 3)})
+
+    def channels(of):
+        return named({n: F.when(grey if n == "Gray" else ~grey, of(_AT[n])) for n in ("Red", "Green", "Blue", "Gray")})
+
+    hashes = named({key: named({f"PH{j}": comma(8 * i + j, 8 * i + j + 32) for j in range(1, 8)}) for i, key in enumerate(_HASH_KEYS)})
+    described = named({
+        "Type": F.when(grey, "Grayscale").otherwise("TrueColor"), "Image moments": named({"Overall": moments(0)}), "Channel moments": channels(moments), "Image statistics": named({"Overall": statistics(0)}), "Channel statistics": channels(statistics),
+        "Channel perceptual hash": hashes, "Number pixels": F.concat(F.col("label"), F.lit("K")), "Filesize": F.concat(F.col("vec_id"), F.lit("KB")), "Geometry": F.concat(F.lit("10x"), F.col("label"), F.lit("+0+0")),
+    })
+    lines = _read(spark, d, "embeddings").select("vec_id", F.to_json(described).alias("line"))
+    parsed = lines.select("vec_id", F.explode(F.array(F.from_json("line", metadata.schema()))).alias("m"))
+    return parsed.select("vec_id", *[c.alias(n) for n, c in metadata.image_scalars(F.col("m"), _HASH_KEYS).items()])
