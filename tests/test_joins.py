@@ -11,6 +11,6 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["d03_chargram_cosine", "j03_pair_features", "u04_symmetric_difference"])
+@pytest.mark.parametrize("name", ["d03_chargram_cosine", "j03_pair_features", "j05_joined_pair_features", "u04_symmetric_difference"])
 def test_pairs_of_items_are_not_broadcast(spark, name):
     assert "Broadcast" not in _plan(catalog.QUERIES[name](spark, SF))
