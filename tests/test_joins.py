@@ -26,3 +26,11 @@ def test_items_are_dealt_before_their_terms_are_counted(spark):
     assert plan.index("Generate") < plan.index("Exchange hashpartitioning(k")  # printed from the top
     assert plan.count("Exchange") == 1
     assert {(r.k, r.term, r.n) for r in found.where("k < 2").collect()} == {(0, "a", 2), (0, "b", 2), (1, "a", 2), (1, "b", 1)}
+
+
+def test_sentence_vectors_are_summed_without_a_row_a_component(spark):
+    found = catalog.QUERIES["d08_sentence_vectors"](spark, SF)
+    plan = _plan(found)
+    assert "posexplode" not in plan and "Broadcast" not in plan
+    rows = found.collect()
+    assert {r.kind for r in rows} == {"all", "excluded"} and len({(r.id_1, r.kind) for r in rows}) == len(rows)
