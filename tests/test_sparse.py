@@ -53,3 +53,12 @@ def test_scores_of_unseen_rows_and_of_rows_without_labels(spark):
 def test_no_labels(spark):
     none = spark.createDataFrame([], "model int, id long, label double")
     assert sparse.svm(long(spark, planted()[0]), none, "id", 1.0).count() == 0
+
+
+def test_rows_in_many_chunks_have_the_weights_of_one(spark):
+    x, y = planted()
+    labels = spark.createDataFrame([(m, i, float(v > 0)) for m in (3, -1) for i, v in enumerate(y) if i % 5 != m], "model int, id long, label double")
+    fit = lambda entries: {(r.model, r.term): r.w for r in sparse.svm(long(spark, x), labels, "id", 0.4, rounds=4, entries=entries).collect()}
+    one, many = fit(1 << 20), fit(25)
+    assert {m for m, _ in one} == {3, -1} and set(one) == set(many)
+    assert all(abs(one[k] - many[k]) < 1e-9 for k in one)

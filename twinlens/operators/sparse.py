@@ -2,15 +2,19 @@
 table: neither the rows' vectors nor the weights pass through the driver.
 
 svm() minimises the sum of |w| plus c times the sum of squared hinge losses, the intercept's
-weight included, by accelerated proximal gradient steps. A step is two joins on
-terms, one for the margins (a sum a row) and one for the gradient (a sum a term); all folds'
-learners take their steps together. Each term has a step of its own: one over the sum of
-|value| times the row's |values|, which bounds the curvature (a diagonal that dominates the
-rows' products), so rare terms do not wait for frequent ones.
+weight included, by accelerated proximal gradient steps. Rows are packed once, in chunks that
+hold all terms of theirs: a step sends each chunk the weights of its distinct terms, and
+the chunk's sums of the gradient back, so that what is shuffled follows the vocabulary and not
+the entries. All folds' learners take their steps together. Each term has a step of its own:
+one over the sum of |value| times the row's |values|, which bounds the curvature (a diagonal that
+dominates the rows' products), so rare terms do not wait for frequent ones.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ from ..sources.kept import kept
 INTERCEPT = ""
 #: Steps between two writes of the weights.
 STEPS = 4
+#: Entries of a chunk, about.
+ENTRIES = 1 << 20
 
 
 def with_intercept(rows: DataFrame, items: DataFrame, key: str) -> DataFrame:
@@ -28,13 +34,67 @@ def with_intercept(rows: DataFrame, items: DataFrame, key: str) -> DataFrame:
     return own.unionByName(items.select(key).distinct().select(key, F.lit(INTERCEPT).alias("term"), F.lit(1.0).alias("value")))
 
 
-def _curvature(data: DataFrame, key: str) -> DataFrame:
-    """model, term, bound: the absolute row sums of the rows' products."""
-    sums = data.groupBy("model", key).agg(F.sum(F.abs("value")).alias("s"))
-    return data.join(sums, ["model", key]).groupBy("model", "term").agg(F.sum(F.abs("value") * F.col("s")).alias("bound")).where("bound > 0")
-
-
-def svm(rows: DataFrame, labels: DataFrame, key: str, c: float, rounds: int = 200, tolerance: float = 1e-5, memory: int = STEPS) -> DataFrame:
+_PACKED = "chunk int, models array<int>, size int, ids array<bigint>, row array<int>, code array<int>, value array<double>, y array<double>, bound array<double>"
+
+
+def _packed(batches):
+    """A row a chunk: its distinct terms, entries (row, code, value), the sign of each row in each
+    model (0: not in it) and the bounds of the curvature."""
+    now, parts = None, []
+
+    def out():
+        b = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        signs = b.filter(b.column(4).is_valid())
+        rows = b.filter(b.column(2).is_valid())
+        keys = pc.unique(signs.column(1))
+        models, at = np.unique(signs.column(4).to_numpy(), return_inverse=True)
+        y = np.zeros((len(models), len(keys)))
+        y[at, pc.index_in(signs.column(1), keys).to_numpy()] = signs.column(5).to_numpy()
+        row = pc.index_in(rows.column(1), keys).to_numpy()
+        ids, code = np.unique(rows.column(2).to_numpy(), return_inverse=True)
+        value = rows.column(3).to_numpy()
+        sums = np.bincount(row, np.abs(value), len(keys))
+        bound = np.array([np.bincount(code, np.abs(value) * (sums * (s != 0))[row], len(ids)) for s in y])
+        lists = [[x] for x in (models.astype(np.int32), ids, row.astype(np.int32), code.astype(np.int32), value, y.ravel(), bound.ravel())]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 3]
+        m, *rest = [pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds)]
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), m, pa.array([len(keys)], pa.int32()), *rest], names=[x.split()[0] for x in _PACKED.split(", ")])
+
+    for b in batches:
+        chunks = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)] if len(chunks) else []
+        for x, z in zip(cuts, cuts[1:]):
+            if now != chunks[x] and parts:
+                yield out()
+                parts = []
+            now = int(chunks[x])
+            parts.append(b.slice(x, z - x))
+    if parts:
+        yield out()
+
+
+def _gradients(c: float):
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                get = lambda n: b.column(n)[k].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                models, ids, row, code, value, size = get("models"), get("ids"), get("row"), get("code"), get("value"), b.column("size")[k].as_py()
+                y = get("y").reshape(len(models), size)
+                ahead = np.zeros((len(models), len(ids)))
+                here = np.isin(get("w_model"), models)  # a chunk may have no row of some model
+                ahead[np.searchsorted(models, get("w_model")[here]), np.searchsorted(ids, get("w_id")[here])] = get("w_ahead")[here]
+                for m in range(len(models)):
+                    margin = np.bincount(row, value * ahead[m, code], size)
+                    # rows that are far enough on their side do not pull
+                    pull = -2.0 * c * y[m] * np.maximum(0.0, 1.0 - y[m] * margin)
+                    g = np.bincount(code, value * pull[row], len(ids))
+                    hit = np.flatnonzero(g)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), models[m], np.int32)), pa.array(ids[hit]), pa.array(g[hit])], names=["model", "id", "g"])
+
+    return run
+
+
+def svm(rows: DataFrame, labels: DataFrame, key: str, c: float, rounds: int = 200, tolerance: float = 1e-5, memory: int = STEPS, entries: int = ENTRIES) -> DataFrame:
     """model, term, w: L1-penalised learners, INTERCEPT among the terms; those whose weight is 0
     are left out. rows: key, term, value, one a term; labels: model, key, label (1 or anything
     else), one row a model that the item is to train. Rows without a label take no part; no labels
@@ -43,23 +103,29 @@ def svm(rows: DataFrame, labels: DataFrame, key: str, c: float, rounds: int = 20
     Momentum starts anew where it leads uphill. Ends after `rounds` steps, or when the last before
     a write moves no weight by more than tolerance.
     """
-    signs = labels.select("model", key, F.when(F.col("label") == 1, 1.0).otherwise(-1.0).alias("y"))
-    data = kept(with_intercept(rows, labels, key).join(signs, key), "svm-rows")
-    start = _curvature(data, key).select("model", "term", (1.0 / (2.0 * c * F.col("bound"))).alias("step"), *[F.lit(0.0).alias(n) for n in ("w", "ahead", "moved")])
+    own = kept(with_intercept(rows, labels, key), "svm-rows")
+    ids = kept(own.select("term").distinct().withColumn("_id", F.monotonically_increasing_id()), "svm-terms")
+    chunk = F.pmod(F.xxhash64(key), F.lit(-(-max(own.count(), 1) // entries))).cast("int").alias("chunk")
+    none = lambda n, t: F.lit(None).cast(t).alias(n)
+    signs = labels.select(chunk, key, none("id", "long"), none("value", "double"), F.col("model").cast("int").alias("model"), F.when(F.col("label") == 1, 1.0).otherwise(-1.0).alias("y"))
+    every = own.join(ids.hint("merge"), "term").select(chunk, key, "_id", "value", none("model", "int"), none("y", "double")).union(signs)
+    data = kept(every.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_packed, _PACKED), "svm-chunks")
+    terms = data.select("chunk", F.explode("ids").alias("id"))
+    start = _bounds(data).groupBy("model", "id").agg(F.sum("bound").alias("bound")).where("bound > 0").select("model", "id", (1.0 / (2.0 * c * F.col("bound"))).alias("step"), *[F.lit(0.0).alias(n) for n in ("w", "ahead", "moved")])
     weights, momentum, done = kept(start, "svm-weights"), 1.0, 0
+    packed = data.select("chunk", "models", "size", "ids", "row", "code", "value", "y")
     while done < rounds:
         for _ in range(min(memory, rounds - done)):
-            margin = data.join(weights.select("model", "term", "ahead"), ["model", "term"]).groupBy("model", key).agg(F.first("y").alias("y"), F.sum(F.col("value") * F.col("ahead")).alias("margin"))
-            # rows that are far enough on their side do not pull
-            pull = margin.select("model", key, (-2.0 * c * F.col("y") * F.greatest(F.lit(0.0), 1.0 - F.col("y") * F.col("margin"))).alias("pull")).where("pull <> 0")
-            gradient = data.join(pull, ["model", key]).groupBy("model", "term").agg(F.sum(F.col("value") * F.col("pull")).alias("g"))
+            sent = terms.join(weights.where("ahead <> 0").select("id", "model", "ahead").hint("merge"), "id").groupBy("chunk").agg(*[F.collect_list(n).alias(f"w_{n}") for n in ("model", "id", "ahead")])
+            none_ = [F.coalesce(F.col(f"w_{n}"), F.array().cast(f"array<{t}>")).alias(f"w_{n}") for n, t in (("model", "int"), ("id", "bigint"), ("ahead", "double"))]
+            gradient = packed.join(sent.hint("merge"), "chunk", "left").select(*packed.columns, *none_).mapInArrow(_gradients(c), "model int, id long, g double").groupBy("model", "id").agg(F.sum("g").alias("g"))
             then = (1.0 + (1.0 + 4.0 * momentum * momentum) ** 0.5) / 2.0
             moved = F.col("ahead") - F.col("step") * F.coalesce("g", F.lit(0.0))
-            new = weights.join(gradient, ["model", "term"], "left").select("model", "term", "step", "w", F.col("ahead").alias("before"), (F.signum(moved) * F.greatest(F.abs(moved) - F.col("step"), F.lit(0.0))).alias("new"))
+            new = weights.join(gradient.hint("merge"), ["model", "id"], "left").select("model", "id", "step", "w", F.col("ahead").alias("before"), (F.signum(moved) * F.greatest(F.abs(moved) - F.col("step"), F.lit(0.0))).alias("new"))
             by = F.col("new") - F.col("w")
             # above 0 in sum: the momentum leads uphill
             turn = (F.col("before") - F.col("new")) * by / F.col("step")
-            weights = new.select("model", "term", "step", F.col("new").alias("w"), (F.col("new") + (momentum - 1.0) / then * by).alias("ahead"), F.abs(by).alias("moved"), turn.alias("turn"))
+            weights = new.select("model", "id", "step", F.col("new").alias("w"), (F.col("new") + (momentum - 1.0) / then * by).alias("ahead"), F.abs(by).alias("moved"), turn.alias("turn"))
             momentum, done = then, done + 1
         weights = kept(weights, "svm-weights")
         most, turn = weights.agg(F.max("moved"), F.sum("turn")).first()
@@ -67,7 +133,20 @@ def svm(rows: DataFrame, labels: DataFrame, key: str, c: float, rounds: int = 20
             break
         if turn > 0:
             weights, momentum = weights.withColumn("ahead", F.col("w")), 1.0
-    return weights.where("w <> 0").select("model", "term", "w")
+    return weights.where("w <> 0").join(ids.withColumnRenamed("_id", "id").hint("merge"), "id").select("model", "term", "w")
+
+
+def _bounds(data: DataFrame) -> DataFrame:
+    """model, id, bound of each chunk: the absolute row sums of its rows' products."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                models, ids, bound = (b.column(n)[k].values.to_numpy(zero_copy_only=False) for n in range(3))
+                for m, own in zip(models, bound.reshape(len(models), len(ids))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), m, np.int32)), pa.array(ids), pa.array(own)], names=["model", "id", "bound"])
+
+    return data.select("models", "ids", "bound").mapInArrow(run, "model int, id long, bound double")
 
 
 def margins(rows: DataFrame, items: DataFrame, weights: DataFrame, key: str) -> DataFrame:
