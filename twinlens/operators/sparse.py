@@ -25,7 +25,7 @@ INTERCEPT = ""
 #: Steps between two writes of the weights.
 STEPS = 4
 #: Entries of a chunk, about.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 18
 
 
 def with_intercept(rows: DataFrame, items: DataFrame, key: str) -> DataFrame:
@@ -34,12 +34,13 @@ def with_intercept(rows: DataFrame, items: DataFrame, key: str) -> DataFrame:
     return own.unionByName(items.select(key).distinct().select(key, F.lit(INTERCEPT).alias("term"), F.lit(1.0).alias("value")))
 
 
-_PACKED = "chunk int, models array<int>, size int, ids array<bigint>, row array<int>, code array<int>, value array<double>, y array<double>, bound array<double>"
+_PACKED = "chunk int, models array<int>, size int, ids array<bigint>, bound array<double>, entries binary"
 
 
 def _packed(batches):
-    """A row a chunk: its distinct terms, entries (row, code, value), the sign of each row in each
-    model (0: not in it) and the bounds of the curvature."""
+    """A row a chunk: its distinct terms, the bounds of the curvature, and its entries (row, code,
+    value) and the sign of each row in each model (0: not in it), compressed: readers hold a file's chunks
+    at once."""
     now, parts = None, []
 
     def out():
@@ -55,10 +56,11 @@ def _packed(batches):
         value = rows.column(3).to_numpy()
         sums = np.bincount(row, np.abs(value), len(keys))
         bound = np.array([np.bincount(code, np.abs(value) * (sums * (s != 0))[row], len(ids)) for s in y])
-        lists = [[x] for x in (models.astype(np.int32), ids, row.astype(np.int32), code.astype(np.int32), value, y.ravel(), bound.ravel())]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 3]
-        m, *rest = [pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds)]
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), m, pa.array([len(keys)], pa.int32()), *rest], names=[x.split()[0] for x in _PACKED.split(", ")])
+        by = np.lexsort((code, row))
+        blob = b"".join(x.tobytes() for x in (value[by], y, row[by].astype(np.int32), code[by].astype(np.int32)))
+        lists = [pa.array([x], pa.list_(t)) for x, t in ((models.astype(np.int32), pa.int32()), (ids, pa.int64()), (bound.ravel(), pa.float64()))]
+        columns = [pa.array([now], pa.int32()), lists[0], pa.array([len(keys)], pa.int32()), *lists[1:], pa.array([len(row).to_bytes(4, "little") + pa.compress(blob, "zstd", asbytes=True)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PACKED.split(", ")])
 
     for b in batches:
         chunks = b.column(0).to_numpy()
@@ -78,8 +80,11 @@ def _gradients(c: float):
         for b in batches:
             for k in range(b.num_rows):
                 get = lambda n: b.column(n)[k].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                models, ids, row, code, value, size = get("models"), get("ids"), get("row"), get("code"), get("value"), b.column("size")[k].as_py()
-                y = get("y").reshape(len(models), size)
+                models, ids, size, blob = get("models"), get("ids"), b.column("size")[k].as_py(), b.column("entries")[k].as_py()
+                n, signs = int.from_bytes(blob[:4], "little"), len(models) * size
+                raw = np.frombuffer(pa.decompress(blob[4:], 16 * n + 8 * signs, "zstd", asbytes=True), np.uint8)
+                value, y = raw[: 8 * n].view(float), raw[8 * n : 8 * (n + signs)].view(float).reshape(len(models), size)
+                row, code = raw[8 * (n + signs) :].view(np.int32).reshape(2, n)
                 ahead = np.zeros((len(models), len(ids)))
                 here = np.isin(get("w_model"), models)  # a chunk may have no row of some model
                 ahead[np.searchsorted(models, get("w_model")[here]), np.searchsorted(ids, get("w_id")[here])] = get("w_ahead")[here]
@@ -113,7 +118,7 @@ def svm(rows: DataFrame, labels: DataFrame, key: str, c: float, rounds: int = 20
     terms = data.select("chunk", F.explode("ids").alias("id"))
     start = _bounds(data).groupBy("model", "id").agg(F.sum("bound").alias("bound")).where("bound > 0").select("model", "id", (1.0 / (2.0 * c * F.col("bound"))).alias("step"), *[F.lit(0.0).alias(n) for n in ("w", "ahead", "moved")])
     weights, momentum, done = kept(start, "svm-weights"), 1.0, 0
-    packed = data.select("chunk", "models", "size", "ids", "row", "code", "value", "y")
+    packed = data.select("chunk", "models", "size", "ids", "entries")
     while done < rounds:
         for _ in range(min(memory, rounds - done)):
             sent = terms.join(weights.where("ahead <> 0").select("id", "model", "ahead").hint("merge"), "id").groupBy("chunk").agg(*[F.collect_list(n).alias(f"w_{n}") for n in ("model", "id", "ahead")])
